@@ -260,11 +260,22 @@ def _counted(batches):
 
 
 def frequent_words(docs: DataFrame, n: int = LEXICON) -> list[str]:
-    """The n most frequent space-delimited words of all texts: exact sums, of which only the n
-    largest reach the driver."""
+    """The most frequent space-delimited words of all texts, at most n: exact sums, of which only
+    the largest reach the driver. Words tied at the cut are left out."""
     common.small_batches(docs.sparkSession)
     counts = docs.select("text").mapInArrow(_counted, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r[0] for r in counts.filter("n > 1 and length(word) <= 64").orderBy(F.desc("n"), "word").limit(n).collect()]
+    counts = common.written(counts.filter("n > 1 and length(word) <= 64"), "word-counts")
+    # How many words there are of each count tells the least count that the n most frequent have; so
+    # no task has to send the driver n candidates of its own.
+    least, total = 1 << 62, 0
+    for count, some in counts.groupBy("n").agg(F.count("*").alias("some")).orderBy(F.desc("n")).limit(n).collect():
+        total += some
+        if total > n:
+            break
+        least = count
+    words = sorted(r[0] for r in counts.filter(F.col("n") >= least).select("word").collect())
+    common.drop_written(counts.sparkSession, counts)
+    return words
 
 
 def lexicon_of(words: list[str], vocabulary: Vocabulary) -> bytes:
