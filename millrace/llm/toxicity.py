@@ -1,7 +1,7 @@
 """Toxicity: a second-order factorization machine over hashed terms.
 
-Terms are lower-cased words and the first bytes of longer ones, hashed to 24 bits; the buckets most associated with the label are kept
-as the machine's features, each with a linear weight and a factor vector, so that pairs of terms
+Terms are lower-cased words, the first bytes of longer ones, and how often those recur, hashed to
+24 bits; the buckets most associated with the label are kept as the machine's features, each with a linear weight and a factor vector, so that pairs of terms
 weigh in besides single ones. It is fitted on a bounded sample (FIT_ROWS) of labelled rows.
 
 Defined cases: a null text counts as empty; an empty text gets the bias alone; texts are read whole;
@@ -11,6 +11,8 @@ rows of both classes every score is 0.
 
 from __future__ import annotations
 
+from collections import Counter
+from itertools import repeat
 from zlib import crc32
 
 import numpy as np
@@ -35,10 +37,19 @@ _TO_SPACE = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
 
 
 def terms(text: str | None) -> np.ndarray:
-    """Distinct hashed terms of a whole text."""
-    words = set((text or "").lower().encode("utf-8", "surrogatepass").translate(_TO_SPACE).split())
-    words |= {b"^" + w[:STEM] for w in words if len(w) > STEM}
-    return np.unique(np.fromiter(map(crc32, words), dtype=np.int64, count=len(words)) & (2**BITS - 1))
+    """Distinct hashed terms of a whole text: its words, the stems of longer ones, and for a stem
+    found again, that it stands twice, three times, or in one word of a hundred."""
+    words = (text or "").lower().encode("utf-8", "surrogatepass").translate(_TO_SPACE).split()
+    stems = Counter([w[:STEM] for w in words if len(w) > STEM])
+    found = [*map(crc32, set(words)), *map(crc32, stems, repeat(1))]
+    for s, n in stems.items():
+        if n > 1:
+            found.append(crc32(s, 2))
+            if n > 2:
+                found.append(crc32(s, 3))
+            if 100 * n >= len(words):
+                found.append(crc32(s, 4))
+    return np.unique(np.array(found, np.int64) & (2**BITS - 1))
 
 
 class Machine:

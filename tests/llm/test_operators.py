@@ -278,7 +278,7 @@ def test_toxicity_held_out(spark):
     rows = toxicity.op9_toxicity(spark, "/root/testdata/sf0.1").join(common.table(spark, "/root/testdata/sf0.1", "labels"), "doc_id").collect()
     held = [r for r in rows if r.held_out]
     hits, flagged, toxic = (sum(f(r) for r in held) for f in (lambda r: r.predicted and r.toxic, lambda r: r.predicted, lambda r: r.toxic))
-    assert hits / flagged > 0.95 and hits / toxic > 0.7
+    assert hits / flagged > 0.97 and hits / toxic > 0.85
 
 
 def test_toxicity_edges(spark, edges, empty):
