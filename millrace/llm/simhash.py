@@ -174,14 +174,21 @@ def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """The pipeline's stage: one document of each near-duplicate group stays (the one with the
     smallest id, then the smallest text hash; one row of wholly equal ones), with its own columns.
 
-    Only fingerprints, ids and hashes are shuffled to choose; texts are filtered at the end.
+    Only fingerprints, ids and hashes are shuffled to choose; texts are shuffled once, to be filtered,
+    and again only those of rows that stand several times.
     """
     mark = "__millrace_"
-    keyed = fingerprinted(docs.select("doc_id", "text"), shingle).select("doc_id", "fp", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row"))
+    keyed = fingerprinted(docs.select("doc_id", "text"), shingle).select("doc_id", "fp", F.xxhash64("text").alias("hash"))
     prints = common.written(keyed, "near-dedup-prints")
-    best = prints.join(classes(prints), "fp").groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("lone")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "hash", "row")).alias("k"))
-    chosen = best.select(F.col("k.doc_id").alias(f"{mark}id"), F.col("k.hash").alias(f"{mark}hash"))
+    rows = prints.groupBy("fp", "doc_id", "hash").agg(F.count("*").alias("copies"))
+    lone = F.when(F.col("component_id").isNull(), F.col("fp"))
+    best = rows.join(classes(prints), "fp").groupBy("component_id", lone.alias("lone")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "hash", "copies")).alias("k"))
+    chosen = common.written(best.select(F.col("k.doc_id").alias(f"{mark}id"), F.col("k.hash").alias(f"{mark}hash"), F.col("k.copies").alias(f"{mark}copies")), "near-dedup-chosen")
     marked = docs.withColumn(f"{mark}text", F.xxhash64("text"))
-    kept = marked.join(chosen, F.col("doc_id").eqNullSafe(F.col(f"{mark}id")) & (F.col(f"{mark}text") == F.col(f"{mark}hash")), "left_semi")
-    # Equal rows under one id: one stays.
-    return kept.dropDuplicates(["doc_id", f"{mark}text"]).drop(f"{mark}text")
+    same = F.col("doc_id").eqNullSafe(F.col(f"{mark}id")) & (F.col(f"{mark}text") == F.col(f"{mark}hash"))
+    stays = lambda some: marked.join(some.hint("shuffle_hash"), same, "left_semi")
+    again = chosen.filter(F.col(f"{mark}copies") > 1)
+    if again.isEmpty():
+        return stays(chosen).drop(f"{mark}text")
+    once = stays(chosen.filter(F.col(f"{mark}copies") == 1))
+    return once.unionByName(stays(again).dropDuplicates(["doc_id", f"{mark}text"])).drop(f"{mark}text")
