@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from millrace.llm import common
+from millrace.llm import common, setjoin
 
 BITS_APART = 4
 KEY_LIMIT = 50_000
@@ -151,10 +151,15 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
 
 
 def classes(prints: DataFrame) -> DataFrame:
-    """(fp, first_id): for each distinct fingerprint the smallest doc_id of its component.
+    """(fp, component_id): for each distinct fingerprint the smallest doc_id of its component.
     prints: doc_id, fp; read twice, so written beforehand."""
     fps = common.written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-fps")
-    roots = components(links(fps), "simhash-components")
+    return named(fps, links(fps))
+
+
+def named(fps: DataFrame, edges: DataFrame) -> DataFrame:
+    """(fp, component_id) for entries (fp, first_id) linked by the edges (a, b)."""
+    roots = components(edges, "simhash-components")
     rooted = fps.join(roots, fps["fp"] == roots["node"]).select("fp", "root", "first_id")
     own = fps.join(roots, F.col("fp") == F.col("root"), "left_semi").select("fp", F.col("fp").alias("root"), "first_id")
     linked = rooted.unionByName(own)
@@ -173,16 +178,20 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """The pipeline's stage: one document of each near-duplicate group stays (the one with the
     smallest id, then the smallest text hash; one row of wholly equal ones), with its own columns.
+    Groups are linked by pairs whose shingle sets have a Jaccard similarity of 0.8 or more, found
+    exactly (setjoin.py): op8's fingerprints at 4 bits would miss most edited copies.
 
-    Only fingerprints, ids and hashes are shuffled to choose; texts are shuffled once, to be filtered,
-    and again only those of rows that stand several times.
+    To choose, ids, hashes, prefixes and the sets that met are shuffled, and the texts of those;
+    all texts are shuffled once, to be filtered, and again only those of rows that stand several times.
     """
     mark = "__millrace_"
-    keyed = fingerprinted(docs.select("doc_id", "text"), shingle).select("doc_id", "fp", F.xxhash64("text").alias("hash"))
-    prints = common.written(keyed, "near-dedup-prints")
+    prints = common.written(setjoin.described(docs.select("doc_id", "text"), shingle), "near-dedup-prints")
     rows = prints.groupBy("fp", "doc_id", "hash").agg(F.count("*").alias("copies"))
+    one = F.min(F.struct("hash", "n", "prefix", "bitmap")).alias("k")
+    entries = common.written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), one).select("fp", "first_id", "k.*"), "near-dedup-entries")
+    groups = named(entries.select("fp", "first_id"), setjoin.links(docs, entries, shingle))
     lone = F.when(F.col("component_id").isNull(), F.col("fp"))
-    best = rows.join(classes(prints), "fp").groupBy("component_id", lone.alias("lone")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "hash", "copies")).alias("k"))
+    best = rows.join(groups, "fp").groupBy("component_id", lone.alias("lone")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "hash", "copies")).alias("k"))
     chosen = common.written(best.select(F.col("k.doc_id").alias(f"{mark}id"), F.col("k.hash").alias(f"{mark}hash"), F.col("k.copies").alias(f"{mark}copies")), "near-dedup-chosen")
     marked = docs.withColumn(f"{mark}text", F.xxhash64("text"))
     same = F.col("doc_id").eqNullSafe(F.col(f"{mark}id")) & (F.col(f"{mark}text") == F.col(f"{mark}hash"))

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, chat, common, decontam, html, langid, licenses, linededup, quality, queries, simhash, toxicity
+from millrace.llm import bpe, chat, common, decontam, html, langid, licenses, linededup, quality, queries, setjoin, simhash, toxicity
 from tests.oracle import DATA, connect, same
 
 SMALL = "/root/testdata/sf0.001"
@@ -271,6 +271,37 @@ def test_near_dedup_edges(edges, empty):
     assert simhash.keep_one(empty).count() == 0
 
 
+def jaccard_groups(rows):
+    """The smallest id of each group of (doc_id, text) linked at Jaccard 0.8 or more, pair by pair."""
+    shingles = lambda t: frozenset(tuple(w[i : i + 5]) for w in [t.lower().split()] for i in range(max(len(w) - 4, 1)))
+    sets = {i: shingles(t) for i, t in rows}
+    root = {i: i for i in sets}
+    changed = True
+    while changed:
+        changed = False
+        for a in sets:
+            for b in sets:
+                if root[a] > root[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                    root[a], changed = root[b], True
+    return set(root.values())
+
+
+@pytest.mark.parametrize("limit", [setjoin.GROUP_LIMIT, 2])
+def test_pipeline_near_dedup_is_brute_force_jaccard(spark, limit, monkeypatch):
+    monkeypatch.setattr(setjoin, "GROUP_LIMIT", limit)
+    rng = np.random.default_rng(11)
+    rows, words = [], [f"w{i}" for i in range(400)]
+    for _ in range(25):
+        base = ["shared", "header", "of", "all", "these", "texts", *rng.choice(words, rng.integers(3, 150))]
+        for _ in range(4):
+            copy = list(base)
+            for _ in range(rng.integers(0, 4)):
+                copy[rng.integers(len(copy))] = "edited"
+            rows.append((len(rows), " ".join(copy)))
+    got = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == jaccard_groups(rows) and 25 <= len(got) < len(rows)
+
+
 # --- 9 toxicity
 
 
