@@ -3,9 +3,9 @@
 A line's site spread is the number of distinct sources whose documents hold it. HyperLogLog
 sketches per line hash are merged by aggregation; a line whose estimate lies within BAND of the
 threshold is counted exactly instead. Lines on SITES or more sources are boilerplate and go from
-every document, except where boilerplate words outnumber half of a document's words: such a
-document is a copy of some text rather than a text with boilerplate in it, and is left whole (near-dedup is the
-operator for copies).
+every document, except where boilerplate words outnumber half of a document's words: op2's SQL leaves
+such a document whole. The pipeline's stage leaves only those whole that would be left without words
+(copies, for which near-dedup is the operator).
 
 Lines are compared after trimming spaces; blank lines are never boilerplate. Defined cases: a
 null text stays null and has 0 lines; a null source is a site of its own; repeated rows each get a
@@ -58,11 +58,12 @@ def spread_lines(lines: DataFrame, sites: int = SITES) -> DataFrame:
     return clear.unionByName(exact.select(*key))
 
 
-def marked(docs: DataFrame, sites: int = SITES, out: str = "line_dedup") -> DataFrame:
+def marked(docs: DataFrame, sites: int = SITES, out: str = "line_dedup", halves: bool = True) -> DataFrame:
     """docs with a struct column `out`: n_lines, n_removed and the text that remains.
 
     What goes from a text depends on the text alone, so positions are looked up per distinct text
-    and joined back by its hash.
+    and joined back by its hash. With `halves` a text more than half of whose words are boilerplate
+    is left whole, as op2's SQL has it; else only one that would be left without words.
     """
     p = "__millrace_"
     lines = common.written(line_index(docs), "line-index")
@@ -73,7 +74,8 @@ def marked(docs: DataFrame, sites: int = SITES, out: str = "line_dedup") -> Data
     joined = keyed.join(gone, [f"{p}x", f"{p}y"], "left")
     split, at = F.split("text", "\n"), F.col(f"{p}gone")
     hit_words = _words(F.array_join(F.filter(split, lambda x, i: F.array_contains(at, i)), "\n"))
-    take = F.when(at.isNull() | F.col("text").isNull(), False).otherwise(2 * hit_words <= _words(F.col("text")))
+    all_words = _words(F.col("text"))
+    take = F.when(at.isNull() | F.col("text").isNull(), False).otherwise((2 * hit_words <= all_words) if halves else (hit_words < all_words))
     joined = joined.withColumn(f"{p}take", take)
     rest = F.when(F.col(f"{p}take"), F.array_join(F.filter(split, lambda x, i: ~F.array_contains(at, i)), "\n")).otherwise(F.col("text"))
     result = F.struct(
@@ -90,10 +92,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def without_boilerplate(docs: DataFrame) -> DataFrame:
-    """The pipeline's stage: the documents with their boilerplate lines removed; n_chars, where
-    there is such a column, follows the text."""
+    """The pipeline's stage: the documents with their boilerplate lines removed, unless no
+    words would remain; n_chars, where there is such a column, follows the text."""
     name = "__millrace_lines"
-    out = marked(docs, out=name).withColumn("text", F.col(f"{name}.text"))
+    out = marked(docs, out=name, halves=False).withColumn("text", F.col(f"{name}.text"))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(F.col(f"{name}.n_removed") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))

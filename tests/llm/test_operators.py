@@ -94,6 +94,13 @@ def test_line_dedup_edges(spark, edges, empty):
     assert out[3] == "own text of document number 3\n\nmore own text 3" and out[99] is None
 
 
+def test_pipeline_line_dedup_spares_only_whole_copies(spark):
+    shared = " ".join(f"header{i}" for i in range(70))
+    rows = [(i, f"{shared}\n" + " ".join(f"own{i}x{k}" for k in range(60)), f"s{i}") for i in range(12)] + [(99, shared, "t")]
+    out = {r[0]: r[1] for r in linededup.without_boilerplate(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).select("doc_id", "text").collect()}
+    assert all(out[i] == t.split("\n")[1] for i, t, _ in rows[:12]) and out[99] == shared
+
+
 # --- 3 language
 
 
