@@ -6,7 +6,8 @@ weigh in besides single ones. It is fitted on a bounded sample (FIT_ROWS) of lab
 
 Defined cases: a null text counts as empty; an empty text gets the bias alone; texts are read whole;
 repeated rows and null ids are scored row by row; other columns are never read; without labelled
-rows of both classes every score is 0.
+rows of both classes every score is that of the one class (0 without any); without a term that tells the
+classes apart every score is the share of toxic rows.
 """
 
 from __future__ import annotations
@@ -29,9 +30,11 @@ BITS = 24
 STEM = 6
 CUT = 0.7
 #: A bucket is a feature if it has so many sampled rows, and this chi-square with the label at least:
-#: rarer or weaker ones would let the machine learn single rows by heart.
+#: rarer or weaker ones would let the machine learn single rows by heart. Chi-square is at most the
+#: number of rows, so on few rows this share of them is asked for instead.
 LEAST_ROWS = 5
 LEAST_CHI2 = 30.0
+LEAST_CHI2_SHARE = 0.15
 
 _TO_SPACE = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
 
@@ -72,7 +75,9 @@ class Machine:
 
 def fit(x: np.ndarray, y: np.ndarray, active: np.ndarray, factors: int = FACTORS, steps: int = 400, rate: float = 0.05, ridge: float = 1e-5) -> Machine:
     """Full-batch Adam on logistic loss; x holds term presence, a column for each active bucket."""
-    if len(y) == 0 or y.min() == y.max() or x.shape[1] == 0:
+    if len(y) and y.min() < y.max() and x.shape[1] == 0:
+        return Machine(np.zeros(0, np.int64), float(np.log(y.mean() / (1 - y.mean()))), np.zeros(0), np.zeros((0, factors)))
+    if len(y) == 0 or y.min() == y.max():
         return Machine(np.zeros(0, np.int64), -30.0 if len(y) == 0 or not y.max() else 30.0, np.zeros(0), np.zeros((0, factors)))
     rng = np.random.default_rng(5)
     x = x.astype(np.float32)
@@ -117,7 +122,7 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, n_te
     counts = hashed.select("y", F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("c"), F.sum("y").alias("a"))
     gap = F.col("a") * float(n) - F.col("c") * float(pos)
     chi = gap * gap / (F.col("c") * (n - F.col("c") + 0.5))
-    top = counts.filter((F.col("c") >= LEAST_ROWS) & (chi * n / (pos * (n - pos)) >= LEAST_CHI2)).orderBy(chi.desc(), "h").limit(n_terms).select("h").collect()
+    top = counts.filter((F.col("c") >= LEAST_ROWS) & (chi * n / (pos * (n - pos)) >= min(LEAST_CHI2, LEAST_CHI2_SHARE * n))).orderBy(chi.desc(), "h").limit(n_terms).select("h").collect()
     active = np.array(sorted(r[0] for r in top), np.int64)
     keep = F.array(*[F.lit(int(h)) for h in active]) if len(active) else F.array().cast("array<int>")
     got = hashed.select("id", "y", F.array_intersect("h", keep).alias("h")).limit(2 * rows).collect()

@@ -326,6 +326,17 @@ def test_toxicity_edges(spark, edges, empty):
     assert toxicity.scored(empty, toxicity.fit_on_labels(empty, labels)).count() == 0
 
 
+@pytest.mark.parametrize("insult", ["", "insulting"])
+def test_toxicity_of_few_rows(spark, insult):
+    rng = np.random.default_rng(12)
+    rows = [(i, " ".join([insult * (i < 8), *rng.choice(["apple", "river", "stone", "cloud", "table"], 3)])) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    model = toxicity.fit_on_labels(docs, docs.select("doc_id", (F.col("doc_id") < 8).cast("int").alias("toxic")))
+    flagged = {r.doc_id for r in toxicity.scored(docs, model).filter("toxicity.predicted = 1").collect()}
+    assert flagged == (set(range(8)) if insult else set())
+    assert model.score(["", None]).max() < toxicity.CUT
+
+
 def test_machine_learns_a_pair():
     rng = np.random.default_rng(8)
     x = (rng.random((800, 6)) < 0.5).astype(float)
