@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -12,8 +13,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Texts per Arrow batch. Bounds a Python worker's memory when texts are long.
+#: Texts and bytes per Arrow batch. They bound a Python worker's memory when texts are long.
 BATCH_ROWS = 256
+BATCH_BYTES = 16 << 20
 
 _OWN: dict[str, str] = {}
 
@@ -23,10 +25,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of BATCH_ROWS rows, so that a batch of long texts stays small; and this
-    package sent to the executors, which need not have it installed."""
+    """Arrow batches of at most BATCH_ROWS rows and BATCH_BYTES bytes (a larger limit that the session
+    has is lowered, a smaller one stays), so that a batch of long texts stays small; and this package
+    sent to the executors, which need not have it installed. The limits are read when a plan is made,
+    which is after this call, so they stay set."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        now = re.match(r"-?\d+$", spark.conf.get(name, None) or "")
+        if not now or not 0 < int(now[0]) <= most:
+            spark.conf.set(name, str(most))
 
 
 def ship(spark: SparkSession) -> None:
@@ -49,6 +57,8 @@ def shared_dir(spark: SparkSession) -> str:
     set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if set_dir:
         return set_dir.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if "dir" not in _OWN:
         _OWN["dir"] = "file://" + tempfile.mkdtemp(prefix="millrace-")
     return _OWN["dir"]
@@ -63,11 +73,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_written(spark: SparkSession, df: DataFrame) -> None:
-    """Remove the files of a frame that written() made and nobody reads any more."""
+def drop_written(spark: SparkSession, *frames: DataFrame) -> None:
+    """Remove the files of frames that written() made and nobody reads any more. What a lazy result
+    still reads cannot go; that stays in the shared folder until the caller clears it."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+    for folder in {f.rsplit("/", 1)[0] for df in frames for f in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(conf).delete(path, True)
 
@@ -96,12 +107,36 @@ def text_struct(fn: Callable[[], Callable[[list], dict]], schema: pa.Schema, ddl
     return F.arrow_udf(run, returnType=ddl).asNondeterministic()
 
 
-def sample_ids(rows: DataFrame, id_col: str, limit: int, keep: list[str]) -> list:
-    """A bounded, repeatable sample of at most `limit` rows, picked by a hash of the id. The hash's
-    bound follows from the number of rows, so that tasks send about `limit` rows together. Only ids
-    and the small columns `keep` travel, never texts."""
-    rows = rows.filter(F.col(id_col).isNotNull()).select(id_col, *keep)
+def free_name(df: DataFrame, label: str) -> str:
+    """A column name that the frame does not have yet, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    name = f"__millrace_{label}"
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+_SPAN = 1 << 40
+
+
+def sampled(rows: DataFrame, limit: int, *key: str) -> DataFrame:
+    """A bounded, repeatable sample: at most `limit` distinct keys, those of the least hash. The bound on
+    the hash follows from the number of rows, so that tasks send about `limit` keys together, and
+    nothing depends on the order of tasks. Adds the column `order_`, the hash."""
     total = rows.count()
+    hashed = rows.withColumn("order_", F.pmod(F.xxhash64(*key, F.lit(7)), F.lit(_SPAN)))
     if total > limit:
-        rows = rows.filter(F.pmod(F.xxhash64(id_col, F.lit(7)), F.lit(1 << 30)) < int((1 << 30) * limit / total))
-    return rows.limit(limit).collect()
+        hashed = hashed.filter(F.col("order_") < int(_SPAN * min(1.0, 1.2 * limit / total)))
+    return hashed
+
+
+def labelled_texts(docs: DataFrame, labels: DataFrame, column: str, limit: int) -> DataFrame:
+    """(id, y, text) of at most `limit` labelled ids, the bounded sample that a classifier is fitted
+    on. Ids may be of any type. An id labelled twice counts as positive if either row is; one with several texts
+    gives the text of the least hash, so a hot id never gathers."""
+    known = labels.filter(F.col(column).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("id"), (F.col(column) > 0).cast("double").alias("y"))
+    chosen = sampled(known, limit, "id").groupBy("order_", "id").agg(F.max("y").alias("y")).orderBy("order_", "id").limit(limit).select("id", "y")
+    # at most `limit` rows of an id and a number: a proven bound
+    joined = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(chosen), "id")
+    one = joined.groupBy("id").agg(F.max("y").alias("y"), F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
+    return one.select("id", "y", "t.text")

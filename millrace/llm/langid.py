@@ -5,9 +5,12 @@ over cos-normalised rows. Nyström landmarks give the kernel a finite feature ma
 kernel ridge regression is solved on it. As f(x) = (P_x L') A / |x| is a product of the presence row
 with two fixed matrices, L'A is multiplied out once and a batch is scored by one matrix product.
 
+N-grams are hashed to 2**BITS buckets, so of texts long enough to fill most buckets the kernel sees less.
+
 Defined cases: a null text or one without a letter gets `und` and score 0; texts are read whole;
 repeated rows and null ids are scored row by row; only text is read for a prediction, whatever
-other columns there are; with nothing to learn from every row gets `und`.
+other columns there are; with nothing to learn from every row gets `und`; equal scores go to the language
+first in alphabetical order.
 """
 
 from __future__ import annotations
@@ -19,8 +22,14 @@ from pyspark.sql import functions as F
 
 from millrace.llm import common
 
+#: Rows to fit on, over all languages: each gets an equal part, but LEAST_ROWS at least. At most
+#: LANGUAGES are learned, those with the most rows. These bounds are on labelled rows alone.
 FIT_ROWS = 1600
+LEAST_ROWS = 16
+LANGUAGES = 200
 LANDMARKS = 160
+#: Texts to a matrix product: their dense rows take 128 KiB each.
+PRODUCT_ROWS = 32
 BITS = 15
 LENGTHS = (1, 2, 3, 4)
 UNKNOWN = "und"
@@ -53,18 +62,25 @@ class Model:
         self.langs, self.matrix = langs, matrix
 
     def predict(self, texts: list) -> tuple[list[str], np.ndarray]:
-        seen = [has_letter(t) for t in texts]
-        if not self.langs:
-            return [UNKNOWN] * len(texts), np.zeros(len(texts))
-        p = np.zeros((len(texts), 1 << BITS), np.float32)
-        for i, t in enumerate(texts):
-            if seen[i]:
-                presence(t, p[i])
-        f = (p @ self.matrix) / np.sqrt(np.maximum(p.sum(axis=1), 1))[:, None]
-        e = np.exp(3 * (f - f.max(axis=1, keepdims=True)))
-        e /= e.sum(axis=1, keepdims=True)
-        best = e.argmax(axis=1)
-        return [self.langs[b] if s else UNKNOWN for b, s in zip(best, seen)], np.where(seen, e.max(axis=1), 0.0).astype(float)
+        names, scores = [], np.zeros(len(texts))
+        p = np.zeros((min(PRODUCT_ROWS, len(texts)), 1 << BITS), np.float32)
+        for at in range(0, len(texts), PRODUCT_ROWS):
+            some = texts[at : at + PRODUCT_ROWS]
+            seen = np.array([has_letter(t) for t in some])
+            if not self.langs or not seen.any():
+                names += [UNKNOWN] * len(some)
+                continue
+            for i, t in enumerate(some):
+                p[i] = 0
+                if seen[i]:
+                    presence(t, p[i])
+            rows = p[: len(some)]
+            f = (rows @ self.matrix) / np.sqrt(np.maximum(rows.sum(axis=1), 1))[:, None]
+            e = np.exp(3 * (f - f.max(axis=1, keepdims=True)))
+            e /= e.sum(axis=1, keepdims=True)
+            names += [self.langs[b] if s else UNKNOWN for b, s in zip(e.argmax(axis=1), seen)]
+            scores[at : at + len(some)] = np.where(seen, e.max(axis=1), 0.0)
+        return names, scores
 
 
 def fit(packed: list[bytes], langs: list[str], landmarks: int = LANDMARKS, ridge: float = 1e-3) -> Model:
@@ -94,23 +110,28 @@ def _packed(batches):
             row = np.zeros(1 << BITS, np.uint8)
             presence(t or "", row)
             out.append(np.packbits(row).tobytes())
-        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("lang"), pa.array(out, pa.binary())], names=["id", "lang", "bits"])
+        yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("order_"), pa.array(out, pa.binary())], names=["lang", "order_", "bits"])
 
 
 def fit_on_documents(docs: DataFrame, rows: int = FIT_ROWS) -> Model:
-    """Fit on at most `rows` of the given documents: a hash of the id picks them, and the driver
-    gets one fixed-size bit row for each, never a text."""
-    spark = docs.sparkSession
-    common.small_batches(spark)
-    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    ids = common.sample_ids(known, "doc_id", rows, [])
-    if not ids:
+    """Fit on at most max(rows, LEAST_ROWS * languages) of the given documents, an equal number for each language,
+    so that rare ones are learned too. A hash of id and text picks them (the same ones whatever the order
+    of tasks; copies of a row count once); the driver gets one fixed-size bit row for each, never a text."""
+    common.small_batches(docs.sparkSession)
+    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    if not counts:
         return fit([], [])
-    chosen = spark.createDataFrame([(int(i),) for i in sorted({r[0] for r in ids})], "id bigint")
-    joined = known.select(F.col("doc_id").alias("id"), "lang", "text").join(F.broadcast(chosen), "id").select("id", "lang", "text")
-    got = joined.mapInArrow(_packed, "id bigint, lang string, bits binary").limit(2 * rows).collect()
-    got.sort(key=lambda r: (r[0], r[1], bytes(r[2])))
-    return fit([bytes(r[2]) for r in got], [r[1] for r in got])
+    each = max(LEAST_ROWS, rows // len(counts))
+    span = 1 << 40
+    bounds = docs.sparkSession.createDataFrame([(r.lang, int(span * min(1.0, 1.2 * each / r.n))) for r in counts], "lang string, bound bigint")
+    hashed = known.withColumn("order_", F.pmod(F.xxhash64("doc_id", "text", F.lit(7)), F.lit(span))).join(F.broadcast(bounds), "lang")
+    chosen = hashed.filter("order_ < bound").select("lang", "order_", "text").dropDuplicates(["lang", "order_"])
+    got: dict[str, list] = {r.lang: [] for r in counts}
+    for r in chosen.mapInArrow(_packed, "lang string, order_ bigint, bits binary").collect():
+        got[r.lang].append((r.order_, bytes(r.bits)))
+    pairs = [(bits, lang) for lang in sorted(got) for _, bits in sorted(got[lang])[:each]]
+    return fit([b for b, _ in pairs], [x for _, x in pairs])
 
 
 def scored(docs: DataFrame, model: Model, out: str = "language") -> DataFrame:

@@ -173,14 +173,8 @@ def _features(batches):
 
 def fit_on_labels(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Trees:
     """Fit on at most `rows` labelled documents (the bound; a hash of the id picks them)."""
-    spark = docs.sparkSession
-    common.small_batches(spark)
-    ids = common.sample_ids(labels.filter(F.col("quality").isNotNull()), "doc_id", rows, ["quality"])
-    if not ids:
-        return fit(np.zeros((0, len(FEATURES))), np.zeros(0))
-    chosen = spark.createDataFrame([(int(r[0]), float(r[1] > 0)) for r in ids], "id bigint, y double")
-    joined = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(chosen), "id").select("y", "text")
-    got = joined.mapInArrow(_features, "y double, x array<double>").limit(2 * rows).collect()
+    common.small_batches(docs.sparkSession)
+    got = common.labelled_texts(docs, labels, "quality", rows).select("y", "text").mapInArrow(_features, "y double, x array<double>").collect()
     got.sort(key=lambda r: (r[0], r[1]))
     return fit(np.array([r[1] for r in got]).reshape(len(got), len(FEATURES)), np.array([r[0] for r in got]))
 
