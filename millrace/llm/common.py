@@ -116,6 +116,16 @@ def free_name(df: DataFrame, label: str) -> str:
     return name
 
 
+def salts_seen(salt: str) -> Column:
+    """Aggregate: the salts (under 64) that a key's rows have, as bits of a long."""
+    return F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col(salt)))
+
+
+def salts_of(bits: str, salts: int) -> Column:
+    """Those salts as an array: a key needs a copy for each of them, and so never more than it has rows."""
+    return F.filter(F.sequence(F.lit(0), F.lit(salts - 1)), lambda i: F.col(bits).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i)) != 0)
+
+
 _SPAN = 1 << 40
 
 

@@ -1,14 +1,21 @@
 """SimHash near-duplicates through a byte-position inverted index with count filtering.
 
 A 64-bit fingerprint is eight positional bytes. Two fingerprints that differ in at most 4 bits
-share at least 8 - 4 = 4 positional bytes. The index key of a fingerprint is a set of 4 positions with their
-bytes (70 keys), so meeting under a key certifies that a pair's tally has reached the guaranteed
-minimum; the pairs are then verified by Hamming distance. Equal fingerprints are one entry.
+share at least 8 - 4 = 4 positional bytes: the guaranteed minimum of matches. Lists of one positional byte would
+hold a 256th of all rows each, so the index has lists of three: SUBSETS is a smallest set of triples such that
+any four positions contain one of them (20 of 56), so each pair that reaches the minimum meets.
+Under a list the shared positional bytes of its pairs are tallied, the pairs that reach the minimum
+are retained, and those verified by Hamming distance. Equal fingerprints are one entry.
 
-Keys with two entries carry their pair in the aggregate itself (min and max). Larger ones are
+Lists with two entries carry their pair in the aggregate itself (min and max). Larger ones are
 walked breadth-first, never pair by pair: a found member leaves the list, and a component is told
-as links to its smallest member. Keys with more than KEY_LIMIT entries are first cut by 2 of 6
-blocks of their other 32 bits (at most 4 of which can differ in a linked pair), which is exact too.
+as links to its smallest member. Lists of more than KEY_LIMIT entries are split, again and again: first by the
+fourth shared byte (a retained pair has one among the other five positions), then by 2 of 6 blocks of the bits
+that are still free (at most 4 of which can differ in a linked pair). All of it is exact. Under
+FREE_BITS free bits a list holds 2**FREE_BITS distinct entries at most and is walked as it is.
+
+Rows of one fingerprint can be any share of all rows, so they are joined to their class by the
+fingerprint and one of SALTS parts of the ids.
 
 Defined cases: a null text counts as empty; texts without words have fingerprint zero and are linked
 like any other; repeated rows each get a row; a null id never is a component's smallest id unless all
@@ -28,10 +35,25 @@ from xxhash import xxh64_intdigest
 from millrace.llm import common, setjoin
 
 BITS_APART = 4
-KEY_LIMIT = 50_000
-SUBSETS = list(combinations(range(8), 8 - BITS_APART))
-#: Blocks of the other 32 bits as (shift, width).
-BLOCKS = [(0, 6), (6, 6), (12, 5), (17, 5), (22, 5), (27, 5)]
+MATCHES = 8 - BITS_APART
+KEY_LIMIT = 20_000
+FREE_BITS = 14
+SALTS = 32
+
+
+def turan_triples(groups: tuple[tuple[int, ...], ...] = ((0, 1, 2), (3, 4, 5), (6, 7))) -> list[tuple[int, ...]]:
+    """Triples of positions within one of three groups, or with two in a group and one in the next:
+    of any four positions two lie in one group, and a third in it or in the next or the one before."""
+    where = {p: g for g, members in enumerate(groups) for p in members}
+
+    def taken(triple) -> bool:
+        count = [sum(where[p] == g for p in triple) for g in range(3)]
+        return 3 in count or 2 in count and count[(count.index(2) + 1) % 3] == 1
+
+    return [t for t in combinations(sorted(where), 3) if taken(t)]
+
+
+SUBSETS = turan_triples()
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -72,29 +94,61 @@ def _packed(parts: list[tuple[Column, int]]) -> Column:
 
 def _keys(fps: DataFrame) -> DataFrame:
     fp = F.col("fp")
-    each = [F.shiftleft(F.lit(s).cast("long"), 32).bitwiseOR(_packed([(_byte(fp, p), 8) for p in subset])) for s, subset in enumerate(SUBSETS)]
+    each = [F.shiftleft(F.lit(s).cast("long"), 24).bitwiseOR(_packed([(_byte(fp, p), 8) for p in subset])) for s, subset in enumerate(SUBSETS)]
     return fps.select("fp", F.explode(F.array(*each)).alias("key"))
 
 
-def _subkeys(rows: DataFrame) -> DataFrame:
-    fp, which = F.col("fp"), F.shiftrightunsigned(F.col("key"), 32).cast("int")
-    rest = F.element_at(F.array(*[_packed([(_byte(fp, p), 8) for p in range(8) if p not in s]) for s in SUBSETS]), which + 1)
-    block = lambda b: F.shiftrightunsigned(F.col("rest"), b[0]).bitwiseAND(F.lit((1 << b[1]) - 1))
-    each = [F.shiftleft(F.lit(i).cast("long"), 12).bitwiseOR(_packed([(block(a), 6), (block(b), 6)])) for i, (a, b) in enumerate(combinations(BLOCKS, 2))]
-    return rows.withColumn("rest", rest).select("key", "fp", F.explode(F.array(*each)).alias("sub"))
+def _tally(a: Column, b: Column) -> Column:
+    """How many positional bytes two fingerprints share."""
+    return sum(((_byte(a.bitwiseXOR(b), p) == 0).cast("int") for p in range(8)), F.lit(0))
+
+
+def tally(apart: np.ndarray) -> np.ndarray:
+    """The shared positional bytes of pairs, from their xor: each byte's bits are folded onto its lowest."""
+    x = apart | apart >> np.uint64(4)
+    x |= x >> np.uint64(2)
+    x |= x >> np.uint64(1)
+    return 8 - np.bitwise_count(x & np.uint64(0x0101010101010101))
+
+
+def _split(batches):
+    """Members of dense lists (key, fp, free bits) to the lists they are split into: the fourth shared byte
+    while five positions are free, else 2 of 6 blocks of the free bits."""
+    for b in batches:
+        keys, fps, free = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for c in ("key", "fp", "free"))
+        out: list[list] = [[], [], []]
+        for mask in np.unique(free):
+            rows = free == mask
+            bits = [i for i in range(64) if int(mask) >> i & 1]
+            if len(bits) == 40:
+                fixed = [sum(1 << i for i in bits[8 * k : 8 * k + 8]) for k in range(5)]
+            else:
+                cut = [bits[len(bits) * k // 6 : len(bits) * (k + 1) // 6] for k in range(6)]
+                fixed = [sum(1 << i for i in x + y) for x, y in combinations(cut, 2)]
+            for k, f in enumerate(fixed):
+                same = fps[rows] & np.uint64(f)
+                out[0].append([xxh64_intdigest(x.tobytes() + v.tobytes(), k) for x, v in zip(keys[rows], same)])
+                out[1].append(fps[rows])
+                out[2].append(np.full(rows.sum(), int(mask) & ~f, np.uint64))
+        cols = [np.concatenate([np.asarray(x, np.uint64) for x in c]).view(np.int64) if c else np.zeros(0, np.int64) for c in out]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["key", "fp", "free"])
 
 
 def star_links(fps: np.ndarray, apart: int = BITS_APART) -> tuple[np.ndarray, np.ndarray]:
-    """Links that span the components of distinct fingerprints at <= apart bits: (first, member)."""
+    """Links that span the components of distinct fingerprints at <= apart bits: (first, member).
+    Pairs are tried only if their tally reaches the minimum."""
     rest = np.unique(fps.view(np.uint64))
     left, right = [], []
     while len(rest) > 1:
         seed, rest = rest[0], rest[1:]
         todo = np.array([seed], np.uint64)
         while len(todo) and len(rest):
-            size = max(1, 2_000_000 // len(rest))
+            size = max(1, 1_000_000 // len(rest))
             now, todo = todo[:size], todo[size:]
-            hit = (np.bitwise_count(now[:, None] ^ rest[None, :]) <= apart).any(axis=0)
+            xor = now[:, None] ^ rest[None, :]
+            hit = tally(xor) >= 8 - apart
+            hit[hit] = np.bitwise_count(xor[hit]) <= apart
+            hit = hit.any(axis=0)
             found, rest = rest[hit], rest[~hit]
             todo = np.concatenate([todo, found])
             left.append(np.full(len(found), seed, np.uint64))
@@ -112,15 +166,31 @@ def _walk(batches):
 
 def links(fps: DataFrame) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column fp) whose components are those of all
-    links at <= BITS_APART bits."""
+    links at <= BITS_APART bits. Lists of one entry are pruned before any list gets its members."""
+    spark = fps.sparkSession
+    common.small_batches(spark)
     keys = _keys(fps)
     met = common.written(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1"), "simhash-keys")
-    two = met.filter((F.col("n") == 2) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= BITS_APART)).select("a", "b")
-    rows = keys.join(met.filter("n > 2").select("key", "n"), "key")
-    few = rows.filter(F.col("n") <= KEY_LIMIT).groupBy("key").agg(F.collect_list("fp").alias("fps"))
-    many = _subkeys(rows.filter(F.col("n") > KEY_LIMIT)).groupBy("key", "sub").agg(F.collect_list("fp").alias("fps"))
-    walked = few.select("fps").unionByName(many.select("fps")).mapInArrow(_walk, "a bigint, b bigint")
-    return two.unionByName(walked).distinct()
+    near = (_tally(F.col("a"), F.col("b")) >= MATCHES) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= BITS_APART)
+    found = met.filter((F.col("n") == 2) & near).select("a", "b")
+    walk = lambda rows: rows.groupBy("key").agg(F.collect_list("fp").alias("fps")).select("fps").mapInArrow(_walk, "a bigint, b bigint")
+    found = found.unionByName(walk(keys.join(met.filter((F.col("n") > 2) & (F.col("n") <= KEY_LIMIT)).select("key"), "key")))
+    dense = met.filter(F.col("n") > KEY_LIMIT).select("key")
+    if dense.isEmpty():
+        return found.distinct()
+    whole = (1 << 64) - 1
+    masks = [whole & ~sum(255 << 8 * p for p in s) for s in SUBSETS]
+    free = F.element_at(F.array(*[F.lit(m - (1 << 64) * (m >> 63)) for m in masks]), F.shiftrightunsigned("key", 24).cast("int") + 1)
+    rows = keys.join(dense, "key").select("key", "fp", free.alias("free"))
+    while True:
+        rows = common.written(rows.mapInArrow(_split, "key bigint, fp bigint, free bigint"), "simhash-split")
+        sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.max(F.bit_count("free")).alias("bits")).filter("n > 1")
+        more = (F.col("n") > KEY_LIMIT) & (F.col("bits") > FREE_BITS)
+        found = found.unionByName(walk(rows.join(sizes.filter(~more).select("key"), "key")))
+        dense = common.written(sizes.filter(more).select("key"), "simhash-dense")
+        if dense.isEmpty():
+            return found.distinct()
+        rows = rows.join(dense, "key")
 
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
@@ -150,54 +220,56 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def classes(prints: DataFrame) -> DataFrame:
-    """(fp, component_id): for each distinct fingerprint the smallest doc_id of its component.
-    prints: doc_id, fp; read twice, so written beforehand."""
-    fps = common.written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-fps")
-    return named(fps, links(fps))
-
-
 def named(fps: DataFrame, edges: DataFrame) -> DataFrame:
-    """(fp, component_id) for entries (fp, first_id) linked by the edges (a, b)."""
+    """(fp, root, component_id) for entries (fp, first_id) linked by the edges (a, b): root is the component's
+    smallest entry, component_id the least first_id in it."""
     roots = components(edges, "simhash-components")
-    rooted = fps.join(roots, fps["fp"] == roots["node"]).select("fp", "root", "first_id")
-    own = fps.join(roots, F.col("fp") == F.col("root"), "left_semi").select("fp", F.col("fp").alias("root"), "first_id")
-    linked = rooted.unionByName(own)
-    least = linked.groupBy("root").agg(F.min("first_id").alias("least_id"))
-    linked = linked.join(least, "root").select(F.col("fp").alias("linked_fp"), "least_id")
-    return fps.join(linked, F.col("fp") == F.col("linked_fp"), "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id"))
+    of = F.coalesce("root", "fp").alias("root")
+    linked = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", of, "first_id")
+    least = linked.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n"))
+    several = least.filter("n > 1").select(F.col("root").alias("r"), F.col("component_id").alias("least_id"))
+    return linked.join(several, F.col("root") == F.col("r"), "left").select("fp", "root", F.coalesce("least_id", "first_id").alias("component_id"))
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    prints = common.written(fingerprinted(docs, 4).select("doc_id", "fp"), "simhash-prints")
-    named = prints.join(classes(prints), "fp")
-    return named.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+    prints = common.written(fingerprinted(docs, 4).select("doc_id", "fp", salt.alias("salt")), "simhash-prints")
+    fps = common.written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), common.salts_seen("salt").alias("salts")), "simhash-fps")
+    classes = named(fps.select("fp", "first_id"), links(fps.select("fp"))).select("fp", "component_id")
+    parts = classes.join(fps.select("fp", F.explode(common.salts_of("salts", SALTS)).alias("salt")), "fp")  # as many as the fingerprint has rows, SALTS at most
+    return prints.join(parts, ["fp", "salt"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """The pipeline's stage: one document of each near-duplicate group stays (the one with the
     smallest id, then the smallest text hash; one row of wholly equal ones), with its own columns.
     Groups are linked by pairs whose shingle sets have a Jaccard similarity of 0.8 or more, found
-    exactly (setjoin.py): op8's fingerprints at 4 bits would miss most edited copies.
+    exactly (setjoin.py): op8's fingerprints at 4 bits would miss most edited copies. A group is known by its entries,
+    not by ids, so documents that share an id but not their text are apart, and null ids are no obstacle.
 
     To choose, ids, hashes, prefixes and the sets that met are shuffled, and the texts of those;
     all texts are shuffled once, to be filtered, and again only those of rows that stand several times.
     """
-    mark = "__millrace_"
     prints = common.written(setjoin.described(docs.select("doc_id", "text"), shingle), "near-dedup-prints")
     rows = prints.groupBy("fp", "doc_id", "hash").agg(F.count("*").alias("copies"))
+    first = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash", "copies")).alias("best"))
     one = F.min(F.struct("hash", "n", "prefix", "bitmap")).alias("k")
     entries = common.written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), one).select("fp", "first_id", "k.*"), "near-dedup-entries")
-    groups = named(entries.select("fp", "first_id"), setjoin.links(docs, entries, shingle))
-    lone = F.when(F.col("component_id").isNull(), F.col("fp"))
-    best = rows.join(groups, "fp").groupBy("component_id", lone.alias("lone")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "hash", "copies")).alias("k"))
-    chosen = common.written(best.select(F.col("k.doc_id").alias(f"{mark}id"), F.col("k.hash").alias(f"{mark}hash"), F.col("k.copies").alias(f"{mark}copies")), "near-dedup-chosen")
-    marked = docs.withColumn(f"{mark}text", F.xxhash64("text"))
-    same = F.col("doc_id").eqNullSafe(F.col(f"{mark}id")) & (F.col(f"{mark}text") == F.col(f"{mark}hash"))
-    stays = lambda some: marked.join(some.hint("shuffle_hash"), same, "left_semi")
-    again = chosen.filter(F.col(f"{mark}copies") > 1)
+    groups = named(entries.select("fp", "first_id"), setjoin.links(docs, entries, shingle)).select("fp", "root")
+    best = first.join(groups, "fp").groupBy("root").agg(F.min("best").alias("k"))
+    mine = [common.free_name(docs, x) for x in ("id", "hash", "copies", "text", "part")]
+    c_id, c_hash, c_copies, text, part = mine
+    chosen = common.written(best.select(F.col("k.doc_id").alias(c_id), F.col("k.hash").alias(c_hash), F.col("k.copies").alias(c_copies)), "near-dedup-chosen")
+    marked = docs.withColumn(text, F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col(c_id)) & (F.col(text) == F.col(c_hash))
+    once = marked.join(chosen.filter(F.col(c_copies) == 1).hint("shuffle_hash"), same, "left_semi").drop(text)
+    again = chosen.filter(F.col(c_copies) > 1)
     if again.isEmpty():
-        return stays(chosen).drop(f"{mark}text")
-    once = stays(chosen.filter(F.col(f"{mark}copies") == 1))
-    return once.unionByName(stays(again).dropDuplicates(["doc_id", f"{mark}text"])).drop(f"{mark}text")
+        return once
+    # a row can stand any number of times, so these meet in parts
+    right = f"{part}_"
+    spread = again.withColumn(right, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = marked.withColumn(part, F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+    several = dealt.join(spread.hint("shuffle_hash"), same & (F.col(part) == F.col(right)), "left_semi").drop(part)
+    return once.unionByName(several.dropDuplicates(["doc_id", text]).drop(text))
