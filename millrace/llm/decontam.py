@@ -8,9 +8,10 @@ over the whole text, and Myers' bit-parallel algorithm verifies the words around
 The benchmark is the stated query set: it is read in blocks of at most BLOCK_CHARS characters, each
 of which is one pass over the documents with its automaton. Nothing of the corpus is collected.
 
-Defined cases: a null document text or item text counts as empty; an item with fewer than LEAST_WORDS words
-never matches (it identifies nothing), nor does one with a null id; repeated items and documents are
-matched row by row; columns with other names are kept and never read.
+Defined cases: a null document text or item text counts as empty; an item without words never matches, nor
+does one with a null id; an item of fewer than WORDS_PER_EDIT words, one word even, must stand unedited; of
+equally good matches of an item the first is told; repeated items and documents are matched row by row; ids may be
+of any type; columns with other names are kept and never read.
 """
 
 from __future__ import annotations
@@ -23,10 +24,11 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType, LongType
 
 from millrace.llm import common
 
-LEAST_WORDS = 5
 WORDS_PER_EDIT = 6
 BLOCK_CHARS = 1_000_000
 
@@ -80,7 +82,7 @@ class Matcher:
         self.items, where = [], {}
         for item_id, text in items:
             words = normalise(text).split()
-            if item_id is None or len(words) < LEAST_WORDS:
+            if item_id is None or not words:
                 continue
             masks: dict[str, int] = {}
             for i, w in enumerate(words):
@@ -131,34 +133,34 @@ def blocks(benchmark: DataFrame, chars: int = BLOCK_CHARS) -> Iterator[list[tupl
     yield block
 
 
-def matched(docs: DataFrame, items: list[tuple[int, str]], out: str = "leaks") -> DataFrame:
-    """docs with an array column `out` of the block's items they hold: item_id, edits, end_word."""
+def matched(docs: DataFrame, items: list[tuple[int, str]], out: str = "leaks", kind: DataType = LongType()) -> DataFrame:
+    """docs with an array column `out` of the block's items they hold: item_id (of the type `kind`), edits, end_word."""
     spark = docs.sparkSession
     common.small_batches(spark)
     sent = spark.sparkContext.broadcast(items)
-    leak = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int32()), ("end_word", pa.int64())]))
+    leak = pa.list_(pa.struct([("item_id", to_arrow_type(kind)), ("edits", pa.int32()), ("end_word", pa.int64())]))
 
     def start():
         matcher = Matcher(sent.value)
         return lambda texts: {"v": [matcher.find(t) for t in texts]}
 
-    udf = common.text_struct(start, pa.schema([("v", leak)]), "v array<struct<item_id: bigint, edits: int, end_word: bigint>>")
+    udf = common.text_struct(start, pa.schema([("v", leak)]), f"v array<struct<item_id: {kind.simpleString()}, edits: int, end_word: bigint>>")
     return docs.withColumn(out, udf(F.col("text"))["v"])
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each document and benchmark item that it holds."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = None
-    for block in blocks(common.table(spark, sf_dir, "benchmark")):
-        found = matched(docs, block).select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+    benchmark, out = common.table(spark, sf_dir, "benchmark"), None
+    for block in blocks(benchmark):
+        found = matched(docs, block, kind=benchmark.schema["item_id"].dataType).select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
         out = found if out is None else out.unionByName(found)
     return out
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The pipeline's stage: the documents that hold no benchmark item, with their own columns."""
-    name = "__millrace_leaks"
+    name = common.free_name(docs, "leaks")
     for block in blocks(benchmark):
-        docs = matched(docs, block, name).filter(F.size(name) == 0).drop(name)
+        docs = matched(docs, block, name, benchmark.schema["item_id"].dataType).filter(F.size(name) == 0).drop(name)
     return docs

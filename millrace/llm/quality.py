@@ -6,7 +6,8 @@ batch level by level.
 
 Defined cases: a null text counts as empty; an empty text has 0 words, so it fails the base rule;
 texts are read whole, however long; repeated rows and null ids are scored row by row; other columns
-are never read, whatever their names; with no labelled rows of both classes the verdict is "keep".
+are never read, whatever their names; with no labelled rows of both classes the verdict is "keep"; ids may be of
+any type; a score at the threshold keeps; of equally good splits the first feature's lowest is taken.
 """
 
 from __future__ import annotations
@@ -207,5 +208,5 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The pipeline's stage: the documents that pass, with their own columns."""
-    name = "__millrace_quality"
+    name = common.free_name(docs, "quality")
     return scored(docs, fit_on_labels(docs, labels), name).filter(F.col(f"{name}.kept")).drop(name)

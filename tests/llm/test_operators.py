@@ -61,7 +61,7 @@ def test_myers_is_edit_distance():
 def test_decontamination_is_brute_force():
     rng = np.random.default_rng(1)
     vocabulary = [f"w{i}" for i in range(60)]
-    items = [(i, " ".join(rng.choice(vocabulary, rng.integers(4, 30)))) for i in range(12)]
+    items = [(i, " ".join(rng.choice(vocabulary, rng.integers(1, 30)))) for i in range(12)]
     matcher = decontam.Matcher(items)
     for _ in range(60):
         words = list(rng.choice(vocabulary, 40))
@@ -70,7 +70,7 @@ def test_decontamination_is_brute_force():
             at = rng.integers(len(item))
             item = item[:at] + [["zz"], [], ["yy", item[at]]][rng.integers(3)] + item[at + 1 :]
         words[10:10] = item
-        want = {i for i, t in items if len(t.split()) >= 5 and edit_distance(t.split(), words) <= len(t.split()) // 6}
+        want = {i for i, t in items if edit_distance(t.split(), words) <= len(t.split()) // 6}
         assert {f["item_id"] for f in matcher.find(", ".join(words).upper())} == want
 
 
@@ -372,7 +372,7 @@ def test_lexicon_holds_its_words_alone():
     lexicon = bpe.Lexicon(bpe.compile_lexicon(words))
     assert all(lexicon.get(w) == ids for w, ids in words.items())
     assert not any(lexicon.get(w) for w in (b"", b"b", b"abcd", b"x", b"xb", b"zz"))
-    assert len(lexicon.offset) - 1 < sum(map(len, words))  # suffixes are shared
+    assert lexicon.states < sum(map(len, words))  # suffixes are shared
 
 
 def test_bpe_edges(edges, empty):
