@@ -55,7 +55,7 @@ def group_concat(args: tuple[str, ...], distinct: bool, order: str = "") -> str:
     if len(args) == 1:
         value = f"CAST({args[0]} AS STRING)"
     else:
-        value = f"CASE WHEN coalesce({', '.join(args)}) IS NOT NULL THEN concat_ws(', ', {_strings(args)}) END"
+        value = f"CASE WHEN coalesce({_strings(args)}) IS NOT NULL THEN concat_ws(', ', {_strings(args)}) END"
     return f"coalesce(listagg({'DISTINCT ' if distinct else ''}{value}, ', ') WITHIN GROUP (ORDER BY {order or value}), '')"
 
 

@@ -52,3 +52,15 @@ def parse_spec(text: str) -> Spec:
     if returns != "T" and returns not in KINDS:
         raise ValueError(f"no such type: {returns}")
     return Spec(m[3].lower(), returns, tuple(params), (m[1] or "DETERMINISTIC").upper() == "DETERMINISTIC")
+
+
+def parse_sets(text: str) -> list[tuple[bool, str, list[Spec]]]:
+    """Sets of definitions,  FUNCTION|AGGREGATE name { definition; ... } ...,  as (is aggregate, name, specs)."""
+    out, at = [], 0
+    head = re.compile(r"\s*(FUNCTION|AGGREGATE)\s+([\w.]+)\s*\{([^}]*)\}", re.I)
+    while m := head.match(text, at):
+        out.append((m[1].upper() == "AGGREGATE", m[2], [parse_spec(p) for p in m[3].split(";") if p.strip()]))
+        at = m.end()
+    if text[at:].strip():
+        raise ValueError(f"not a set of definitions: {text[at:].strip()[:40]!r}")
+    return out

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
 _DATES = ("yyyy-MM-dd HH:mm:ss.SSS", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "HH:mm:ss")
 
 
+#: NUMERIC without a size: exact, with the scale of the dialect's division and room for any bigint.
+NUMERIC = "decimal(29,10)"
+
+
 def spark_type(kind: str, size: tuple[int, ...]) -> str:
     if kind == "decimal":
-        return f"decimal({size[0]},{size[1] if len(size) > 1 else 0})" if size else "double"
+        return f"decimal({size[0]},{size[1] if len(size) > 1 else 0})" if size else NUMERIC
     return {"timestamp": "timestamp_ntz"}.get(kind, kind)
 
 
@@ -34,3 +40,26 @@ def cast(value: str, kind: str, size: tuple[int, ...], source: str | None) -> st
     if kind == "binary":
         return f"CAST({value} AS BINARY)"
     return f"try_cast({value} AS {spark_type(kind, size)})"
+
+
+_WHOLE = {"tinyint": 3, "smallint": 5, "int": 10, "bigint": 19}
+
+
+def exact(kind: str | None) -> tuple[int, int] | None:
+    """(precision, scale) of an exact numeric type of Spark, None for any other."""
+    m = re.fullmatch(r"decimal\((\d+),(\d+)\)", kind or "")
+    return (int(m[1]), int(m[2])) if m else (_WHOLE[kind], 0) if kind in _WHOLE else None
+
+
+def divided(a: str, b: str, left: str | None, right: str | None) -> str:
+    """The quotient to 10 decimals, half up. Exact operands give NULL on a zero divisor, others NaN.
+
+    Spark's quotient of decimal(p,s) and decimal(q,t) has 10 decimals where p - s + t = 28 and q >= 9 - s, so the
+    operands are cast to such types and the quotient is rounded once.
+    """
+    x, y = exact(left), exact(right)
+    if not x or not y:
+        return f"CASE WHEN {a} IS NOT NULL AND {b} = 0 THEN double('NaN') ELSE round(try_divide({a}, {b}), 10) END"
+    p, s = min(38, 28 - y[1] + x[1]), x[1]
+    q = max(y[0], 10)
+    return f"try_divide(try_cast({a} AS decimal({p},{s})), CAST({b} AS decimal({q},{y[1]})))"

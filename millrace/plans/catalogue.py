@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.plans import statements
 from millrace.session import Session
 from millrace.sources.files import parquet_table
 from millrace.streaming.windows import windowed
@@ -60,11 +61,19 @@ TEXTS: dict[str, tuple[str, object]] = {
     ),
     "ex7_between": ("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity BETWEEN 5 AND 10 AND l_discount NOT BETWEEN 0.02 AND 0.08", SAME),
     "ex8_like": ("SELECT o_orderkey FROM orders WHERE o_orderpriority LIKE '1-%' OR o_orderpriority NOT LIKE '%O_%'", SAME),
-    "ex9_regex": ("SELECT p_partkey FROM part WHERE p_name REGEX '1[0-4]$'", "SELECT p_partkey FROM part WHERE regexp_matches(p_name, '1[0-4]$')"),
+    "ex8_like_escapes": (
+        "SELECT k, s LIKE 'a\\%%' AS a, s LIKE '_\\__' AS b, s LIKE '' AS c, s NOT LIKE '%x' AS d, s LIKE 'a%' AS e FROM (SELECT 1 AS k, 'a%b' AS s UNION ALL SELECT 2, 'a_b' UNION ALL SELECT 3, '' UNION ALL SELECT 4, 'axx' UNION ALL SELECT 5, NULL) t",
+        "SELECT k, s LIKE 'a\\%%' ESCAPE '\\' AS a, s LIKE '_\\__' ESCAPE '\\' AS b, s LIKE '' AS c, s NOT LIKE '%x' AS d, s LIKE 'a%' AS e FROM (SELECT 1 AS k, 'a%b' AS s UNION ALL SELECT 2, 'a_b' UNION ALL SELECT 3, '' UNION ALL SELECT 4, 'axx' UNION ALL SELECT 5, NULL) t",
+    ),
+    "ex9_regex": ("SELECT c_custkey FROM customer WHERE c_name REGEX '1[0-4]$' AND NOT (c_mktsegment REGEX '^B')", "SELECT c_custkey FROM customer WHERE regexp_matches(c_name, '1[0-4]$') AND NOT regexp_matches(c_mktsegment, '^B')"),
     "ex10_arithmetic": (
         "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) + l_tax - 1 AS net, l_extendedprice / l_quantity AS unit FROM lineitem",
         "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) + l_tax - 1 AS net, round(l_extendedprice / l_quantity, 10) AS unit FROM lineitem",
     ),
+    "ex10_exact": (
+        "SELECT n_nationkey AS k, CAST(n_nationkey / 3.0 AS NUMERIC(38,10)) AS a, CAST(1 / 3.0 AS NUMERIC(38,10)) AS b, CAST((n_nationkey + 0.1) * 0.2 AS NUMERIC(38,10)) AS c, CAST(2 / 3 AS NUMERIC(38,10)) AS d, CAST(n_nationkey / nullif(n_nationkey, 0) AS NUMERIC(38,10)) AS e, CAST(n_nationkey / 0 AS NUMERIC(38,10)) AS f, CAST(CAST(n_nationkey AS NUMERIC) / 7 AS NUMERIC(38,10)) AS g, CAST(CAST(0.1 AS NUMERIC) + CAST(0.2 AS NUMERIC) AS NUMERIC(38,10)) AS h FROM nation",
+        "SELECT n_nationkey AS k, CAST(round(n_nationkey / 3, 10) AS DECIMAL(38,10)) AS a, CAST(0.3333333333 AS DECIMAL(38,10)) AS b, CAST(n_nationkey * 0.2 + 0.02 AS DECIMAL(38,10)) AS c, CAST(0.6666666667 AS DECIMAL(38,10)) AS d, CASE WHEN n_nationkey > 0 THEN CAST(1 AS DECIMAL(38,10)) END AS e, CAST(NULL AS DECIMAL(38,10)) AS f, CAST(round(n_nationkey / 7, 10) AS DECIMAL(38,10)) AS g, CAST(0.3 AS DECIMAL(38,10)) AS h FROM nation",
+    ),
     "ex11_minus": ("SELECT n_nationkey, n_nationkey-1 AS less, -n_nationkey AS neg FROM nation", SAME),
     "ex12_concat_sign": ("SELECT n_nationkey, n_name || '/' || n_regionkey AS label FROM nation", SAME),
     "ex13_literals": ("SELECT 1.5 AS x, 'it''s' AS y, TRUE AS z", "SELECT CAST(1.5 AS DECIMAL(2,1)) AS x, 'it''s' AS y, true AS z"),
@@ -80,7 +89,7 @@ TEXTS: dict[str, tuple[str, object]] = {
     "sq5_in_list": (f"SELECT k FROM {_NUL} t WHERE a IN (0, 1) OR b NOT IN (2, 3)", f"SELECT k FROM {_NUL} t WHERE a IN (0, 1) OR b NOT IN (2, 3) OR b IS NULL"),
     "sq5_any_list": ("SELECT n_nationkey FROM nation WHERE n_nationkey > ANY (20, 22) AND n_nationkey <> ALL (23, 24)", "SELECT n_nationkey FROM nation WHERE n_nationkey > 20 AND n_nationkey NOT IN (23, 24)"),
     "sq6_exists": ("SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'P')", SAME),
-    "sq7_not_exists": ("SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)", SAME),
+    "sq7_not_exists": ("SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 200000)", SAME),
     "sq8_correlated_all": ("SELECT p_partkey FROM part p WHERE p_retailprice >= ALL (SELECT x.p_retailprice FROM part x WHERE x.p_brand = p.p_brand)", SAME),
     "sq8_under_or": ("SELECT c_custkey FROM customer c WHERE c_acctbal < 0 OR NOT (c_custkey IN (SELECT o_custkey FROM orders))", SAME),
     "sq9_scalar": ("SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT max(o_totalprice) FROM orders) - 10000", SAME),
@@ -98,6 +107,8 @@ TEXTS: dict[str, tuple[str, object]] = {
     "jo11_expression_keys": ("SELECT n.n_name AS n_name, r.r_name AS r_name FROM nation n JOIN region r ON n.n_regionkey + 1 = r.r_regionkey * 1", SAME),
     "jo12_self_join": ("SELECT a.n_name AS x, b.n_name AS y FROM nation a, nation b WHERE a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey", SAME),
     "jo14_semi_anti": ("SELECT p_partkey FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49) AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity < 2)", SAME),
+    "jo16_using": ("SELECT k, a.x AS x, b.y AS y FROM (SELECT n_nationkey AS k, n_name AS x FROM nation) a LEFT JOIN (SELECT s_nationkey AS k, s_name AS y FROM supplier WHERE s_acctbal > 0) b USING (k)", SAME),
+    "jo16_natural": ("SELECT k, x, y FROM (SELECT n_nationkey AS k, n_name AS x FROM nation) a NATURAL INNER JOIN (SELECT s_nationkey AS k, s_name AS y FROM supplier) b", "SELECT k, x, y FROM (SELECT n_nationkey AS k, n_name AS x FROM nation) a NATURAL JOIN (SELECT s_nationkey AS k, s_name AS y FROM supplier) b"),
     "jo16_using_cross": ("SELECT n_nationkey, r_regionkey FROM nation CROSS JOIN region WHERE n_regionkey = r_regionkey", SAME),
     # aggregates
     "ag1_group_by": (
@@ -113,11 +124,24 @@ TEXTS: dict[str, tuple[str, object]] = {
     "ag7_count_distinct": ("SELECT l_returnflag, count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY l_returnflag", SAME),
     "ag8_min_max": ("SELECT o_orderpriority, min(o_orderdate) AS first_day, max(o_orderdate) AS last_day FROM orders GROUP BY o_orderpriority", SAME),
     "ag9_sum": ("SELECT c_mktsegment, sum(c_nationkey) AS s FROM customer GROUP BY c_mktsegment", "SELECT c_mktsegment, CAST(sum(c_nationkey) AS BIGINT) AS s FROM customer GROUP BY c_mktsegment"),
+    "ag9_sum_exact": (
+        "SELECT c_mktsegment, CAST(sum(CAST(c_acctbal AS NUMERIC)) AS NUMERIC(38,10)) AS s, CAST(sum(0.1) AS NUMERIC(38,10)) AS t, CAST(sum(DISTINCT CAST(c_nationkey AS NUMERIC) / 4) AS NUMERIC(38,10)) AS q FROM customer GROUP BY c_mktsegment",
+        "SELECT c_mktsegment, CAST(sum(CAST(c_acctbal AS DECIMAL(28,10))) AS DECIMAL(38,10)) AS s, CAST(sum(0.1) AS DECIMAL(38,10)) AS t, CAST(sum(DISTINCT c_nationkey * 0.25) AS DECIMAL(38,10)) AS q FROM customer GROUP BY c_mktsegment",
+    ),
+    "ag17_rollup": (
+        "SELECT o_orderstatus AS st, o_orderpriority AS pr, count(*) AS n FROM orders GROUP BY ROLLUP(o_orderstatus, o_orderpriority)",
+        "SELECT o_orderstatus AS st, o_orderpriority AS pr, count(*) AS n FROM orders GROUP BY ROLLUP(o_orderstatus, o_orderpriority)",
+    ),
+    "ag17_statistics": ("SELECT l_returnflag, round(stddev(l_quantity), 6) AS sd, round(var_pop(l_quantity), 6) AS vp, median(l_quantity) AS md, bool_and(l_quantity > 0) AS b FROM lineitem GROUP BY l_returnflag", SAME),
     "ag10_avg": ("SELECT l_returnflag, avg(l_linenumber) AS a FROM lineitem GROUP BY l_returnflag", "SELECT l_returnflag, round(avg(l_linenumber), 10) AS a FROM lineitem GROUP BY l_returnflag"),
     "ag11_group_concat": (
         f"SELECT a, group_concat(s ORDER BY s) AS names FROM {_NUL} t GROUP BY a",
         f"SELECT a, coalesce(string_agg(s, ', ' ORDER BY s), '') AS names FROM {_NUL} t GROUP BY a",
     ),
+    "ag11_group_concat_several": (
+        "SELECT n_regionkey AS r, group_concat(n_name, n_nationkey ORDER BY n_nationkey) AS names FROM nation GROUP BY n_regionkey",
+        "SELECT n_regionkey AS r, string_agg(n_name || ', ' || n_nationkey, ', ' ORDER BY n_nationkey) AS names FROM nation GROUP BY n_regionkey",
+    ),
     "ag12_distinct_aggregates": ("SELECT l_linestatus, sum(DISTINCT l_linenumber) AS s, max(DISTINCT l_quantity) AS m FROM lineitem GROUP BY l_linestatus", "SELECT l_linestatus, CAST(sum(DISTINCT l_linenumber) AS BIGINT) AS s, max(DISTINCT l_quantity) AS m FROM lineitem GROUP BY l_linestatus"),
     "ag13_all": ("SELECT count(ALL o_orderkey) AS n FROM orders", "SELECT count(o_orderkey) AS n FROM orders"),
     "ag15_order_by_aggregate": ("SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey ORDER BY count(*) DESC, o_custkey", SAME),
@@ -125,6 +149,8 @@ TEXTS: dict[str, tuple[str, object]] = {
     # sort, limit, sets
     "so1_order_by": ("SELECT p_partkey, p_size FROM part ORDER BY p_size DESC, p_partkey ASC", SAME),
     "so4_order_by_alias": ("SELECT s_suppkey AS k, s_acctbal * 2 AS v FROM supplier ORDER BY v, k", SAME),
+    "so4_order_by_ordinal": ("SELECT s_acctbal AS v, s_suppkey AS k FROM supplier ORDER BY 1 DESC, 2 LIMIT 9", SAME),
+    "so5_nulls_first_last": (f"SELECT k FROM {_NUL} t ORDER BY a NULLS LAST, k DESC LIMIT 21", SAME),
     "so5_nulls_lowest": (f"SELECT k FROM {_NUL} t ORDER BY a, k LIMIT 5", f"SELECT k FROM {_NUL} t ORDER BY a NULLS FIRST, k LIMIT 5"),
     "so6_limit": ("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 5", SAME),
     "set_union": ("SELECT n_regionkey AS k FROM nation UNION SELECT r_regionkey + 3 AS k FROM region", SAME),
@@ -150,10 +176,23 @@ TEXTS: dict[str, tuple[str, object]] = {
     "f19_substring": ("SELECT c_custkey, substring(c_name, 0, 4) AS a, substring(c_name, 10) AS b, substring(c_name, 3, -1) AS c FROM customer", "SELECT c_custkey, substring(c_name, 1, 4) AS a, substring(c_name, 10) AS b, '' AS c FROM customer"),
     "f20_if": (f"SELECT k, if(a = b, 'same', 'other') AS w FROM {_NUL} t", f"SELECT k, CASE WHEN a IS NOT DISTINCT FROM b THEN 'same' ELSE 'other' END AS w FROM {_NUL} t"),
     "f21_operator_names": ("SELECT n_nationkey, add_sql(n_nationkey, 1) AS x, and_sql(gt_sql(n_nationkey, 3), not_sql(eq_sql(n_regionkey, 1))) AS y FROM nation", "SELECT n_nationkey, n_nationkey + 1 AS x, n_nationkey > 3 AND NOT n_regionkey = 1 AS y FROM nation"),
+    "f21_all_operator_names": (
+        "SELECT n_nationkey AS k, sub_sql(mul_sql(n_nationkey, 3), 1) AS a, CAST(div_sql(n_nationkey, 2.0) AS NUMERIC(38,10)) AS b, or_sql(lt_sql(n_nationkey, 3), gte_sql(n_nationkey, 20)) AS c, lte_sql(n_nationkey, 4) AS d, neq_sql(n_regionkey, 1) AS e, is_sql(n_regionkey, 2) AS f, isn_sql(n_regionkey, 2) AS g, like_sql(n_name, 'NATION_1%') AS h, nlike_sql(n_name, '%2') AS i FROM nation",
+        "SELECT n_nationkey AS k, n_nationkey * 3 - 1 AS a, CAST(n_nationkey * 0.5 AS DECIMAL(38,10)) AS b, n_nationkey < 3 OR n_nationkey >= 20 AS c, n_nationkey <= 4 AS d, n_regionkey <> 1 AS e, n_regionkey = 2 AS f, n_regionkey <> 2 AS g, n_name LIKE 'NATION_1%' AS h, n_name NOT LIKE '%2' AS i FROM nation",
+    ),
+    "f22_all_set_names": (
+        "SELECT n_nationkey FROM nation WHERE anylt_sql(n_nationkey, (SELECT r_regionkey FROM region)) AND allneq_sql(n_nationkey, (SELECT r_regionkey FROM region WHERE r_regionkey > 2)) AND allgte_sql(n_nationkey, (SELECT r_regionkey FROM region WHERE r_regionkey < 1)) AND anylte_sql(n_nationkey, (SELECT r_regionkey FROM region)) AND alllt_sql(n_nationkey, (SELECT r_regionkey + 5 FROM region))",
+        "SELECT n_nationkey FROM nation WHERE n_nationkey < ANY (SELECT r_regionkey FROM region) AND n_nationkey <> ALL (SELECT r_regionkey FROM region WHERE r_regionkey > 2)",
+    ),
+    "f24_cast_forms": (
+        "SELECT n_nationkey AS k, CAST('2001-12-22 10:11:12.345' AS TIMESTAMP) AS t1, CAST('2001-12-22 10:11:12' AS TIMESTAMP) AS t2, CAST('nothing' AS TIMESTAMP) AS t3, CAST(n_name AS VARCHAR(3)) AS s, CAST(123456 AS VARCHAR(3)) AS o, CAST('true' AS BOOLEAN) AS b, CAST('12.345' AS NUMERIC(6,2)) AS d FROM nation",
+        "SELECT n_nationkey AS k, TIMESTAMP '2001-12-22 10:11:12.345' AS t1, TIMESTAMP '2001-12-22 10:11:12' AS t2, CAST(NULL AS TIMESTAMP) AS t3, substring(n_name, 1, 3) AS s, CAST(NULL AS VARCHAR) AS o, true AS b, CAST(12.35 AS DECIMAL(6,2)) AS d FROM nation",
+    ),
+    "f3_mod_double": ("SELECT n_nationkey AS k, mod(CAST(n_nationkey AS DOUBLE), 0) AS z, mod(CAST(n_nationkey AS DOUBLE), 4) AS m FROM nation", "SELECT n_nationkey AS k, CAST('nan' AS DOUBLE) AS z, CAST(n_nationkey % 4 AS DOUBLE) AS m FROM nation"),
     "f22_set_names": ("SELECT s_suppkey FROM supplier WHERE anyeq_sql(s_nationkey, (SELECT n_nationkey FROM nation WHERE n_regionkey = 2))", "SELECT s_suppkey FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2)"),
     "f24_cast": (
         "SELECT l_orderkey, l_linenumber, CAST(l_linenumber AS BOOLEAN) AS b, CAST(l_linenumber AS VARCHAR(3)) AS s, CAST(l_returnflag AS NUMERIC) AS n, CAST('2001-12-22' AS TIMESTAMP) AS t, CAST(l_linestatus AS BOOLEAN) AS f FROM lineitem",
-        "SELECT l_orderkey, l_linenumber, CASE l_linenumber WHEN 0 THEN false WHEN 1 THEN true END AS b, CAST(l_linenumber AS VARCHAR) AS s, TRY_CAST(l_returnflag AS DOUBLE) AS n, TIMESTAMP '2001-12-22' AS t, CAST(NULL AS BOOLEAN) AS f FROM lineitem",
+        "SELECT l_orderkey, l_linenumber, CASE l_linenumber WHEN 0 THEN false WHEN 1 THEN true END AS b, CAST(l_linenumber AS VARCHAR) AS s, TRY_CAST(l_returnflag AS DECIMAL(29,10)) AS n, TIMESTAMP '2001-12-22' AS t, CAST(NULL AS BOOLEAN) AS f FROM lineitem",
     ),
 }
 PARAMETERS = {
@@ -226,10 +265,10 @@ OTHERS: dict[str, tuple[Callable, str | None]] = {
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {k: _text(t) for k, (t, _) in TEXTS.items()}
     out |= {k: _text(t, p) for k, (t, p, _) in PARAMETERS.items()}
-    return out | {k: f for k, (f, _) in OTHERS.items()}
+    return out | {k: f for k, (f, _) in OTHERS.items()} | statements.queries()
 
 
 def oracle_sql() -> dict[str, str]:
     out = {k: t if check is SAME else check for k, (t, check) in TEXTS.items()}
     out |= {k: check for k, (_, _, check) in PARAMETERS.items()}
-    return out | {k: check for k, (_, check) in OTHERS.items() if check}
+    return out | {k: check for k, (_, check) in OTHERS.items() if check} | statements.oracle_sql()

@@ -4,38 +4,46 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator, Mapping, Sequence
+from dataclasses import replace
+from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.functions import PandasUDFType
 
 from millrace.dialect.lexer import DialectError
 from millrace.dialect.parser import parse, parse_expr
 from millrace.dialect.tree import Column, Select, Statement, Table
-from millrace.functions.spec import SPARK_TYPES, Spec, parse_spec
+from millrace.functions.spec import SPARK_TYPES, Spec, parse_sets, parse_spec
 from millrace.operators import casts
 from millrace.plans.lower import Lower
 from millrace.sources import catalog
-from millrace.sources.store import ROW_ID, CommitError, Database, Key, Transaction, Version
+from millrace.sources.connector import Connector
+from millrace.sources.store import ROW_ID, CommitError, Database, Index, Key, Layer, Transaction, Version
 
 __all__ = ["CommitError", "DialectError", "Session", "UpdatableView"]
 
 
 class Session:
     """folder: a directory of <table>.parquet, whose tables are readable by name.
+    connector: another store of tables, which is asked where neither the database nor the folder has one.
     nulls: "reference" (NULL is the lowest value, comparisons are two-valued) or "ansi"."""
 
-    def __init__(self, spark: SparkSession, folder: str | None = None, nulls: str = "reference", schema: str = "APP", database: Database | None = None) -> None:
+    def __init__(self, spark: SparkSession, folder: str | None = None, nulls: str = "reference", schema: str = "APP", database: Database | None = None, connector: Connector | None = None) -> None:
         if nulls not in ("reference", "ansi"):
             raise ValueError(nulls)
         self.spark, self.folder, self.nulls, self.schema = spark, folder, nulls, schema
-        self.db = database or Database(spark)
+        self.db, self.connector = database or Database(spark), connector
         self.transaction = Transaction(self.db)
-        self.functions: dict[tuple[str, int], str] = {}
+        #: (name, number of arguments) to the registered name of each type that the result can have, and the tagged arguments
+        self.functions: dict[tuple[str, int], tuple[dict[str, str], tuple[int, ...]]] = {}
         self.aggregates: set[str] = set()
         self.variables: dict[str, object] = {"autocommit": True}
         self._views: dict[int, tuple[object, str]] = {}
         self._files: dict[str, str] = {}
+        self._named: set[str] = set()
 
     # --- tables
     def key(self, path: Sequence[str]) -> Key:
@@ -44,7 +52,7 @@ class Session:
     def register(self, name: str, df: DataFrame, schema: str | None = None) -> None:
         """Make a DataFrame readable as a table."""
         self.db.schemas.add(schema or self.schema)
-        v = Version(self.db.clock, df, mutable=False, kind="VIEW")
+        v = Version(self.db.clock, (Layer(df),), mutable=False, kind="VIEW")
         self.db.tables[(schema or self.schema, name)] = v
         self.transaction.tables[(schema or self.schema, name)] = v
         self.transaction.start[(schema or self.schema, name)] = v
@@ -59,9 +67,16 @@ class Session:
             df = catalog.system_table(self.spark, key[1], self.transaction.tables, self.db.schemas)
             if df is not None:
                 return self._view(df, None)
+        if self.connector and len(path) == 1:
+            df = self.connector.read(key[1])
+            if df is not None:
+                return self._view(df, None)
         if self.folder and (len(path) == 1 or key[0] == "APP"):
             if key[1] not in self._files:
-                self._files[key[1]] = self._view(self.spark.read.parquet(f"{self.folder}/{key[1]}.parquet"), None)
+                try:
+                    self._files[key[1]] = self._view(self.spark.read.parquet(f"{self.folder}/{key[1]}.parquet"), None)
+                except AnalysisException as e:
+                    raise DialectError(f"no table {'.'.join(path)}") from e
             return self._files[key[1]]
         raise DialectError(f"no table {'.'.join(path)}")
 
@@ -70,37 +85,63 @@ class Session:
             return self._views[id(owner)][1]
         name = f"millrace_{uuid.uuid4().hex}"
         df.createOrReplaceTempView(name)
+        self._named.add(name)
         if owner is not None:
             self._views[id(owner)] = (owner, name)
         return name
 
+    def close(self) -> None:
+        """Forget the transaction and drop the session's views from Spark's catalog; frames made before stay valid."""
+        self.rollback()
+        for name in self._named:
+            self.spark.catalog.dropTempView(name)
+        self._named.clear()
+        self._views.clear()
+        self._files.clear()
+
+    def __enter__(self) -> Session:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
     # --- functions
-    def add_function(self, spec: str | Spec, function, aggregate: bool = False) -> None:
-        """Register a function under its definition. A scalar takes its arguments' values, an
-        aggregate takes pandas Series and returns one value. Overloads go by number of arguments."""
+    def add_function(self, spec: str | Spec, function, aggregate: bool = False, vectorised: bool = False) -> None:
+        """Register a function under its definition. A scalar takes its arguments' values, or pandas Series and
+        returns one if `vectorised`; an aggregate takes Series and returns one value. Overloads go by
+        number of arguments. A result of type T has the widest type of the arguments tagged so."""
         s = parse_spec(spec) if isinstance(spec, str) else spec
-        returns = s.returns
-        if returns == "T":
-            returns = next((p.kinds[0] for p in s.parameters if p.same), "STRING")
-        kind = SPARK_TYPES[returns]
         most = s.least + 8 if s.most == float("inf") else int(s.most)
         for n in range(s.least, most + 1):
-            spark_name = f"millrace_{s.name}_{n}_{uuid.uuid4().hex[:8]}"
-            if aggregate:
-                import pandas as pd
-
-                names = [f"a{i}" for i in range(n)]
-                scope: dict = {"f": function}
-                exec(f"def run({', '.join(names)}): return f({', '.join(names)})", scope)
-                run = scope["run"]
-                run.__annotations__ = {x: pd.Series for x in names} | {"return": {"double": float, "string": str, "boolean": bool}.get(kind, float)}
-                u = F.pandas_udf(run, kind)
-                self.aggregates.add(spark_name)
-            else:
-                u = F.udf(function, kind, useArrow=True)
-                u = u if s.deterministic else u.asNondeterministic()
-            self.spark.udf.register(spark_name, u)
-            self.functions[(s.name, n)] = spark_name
+            tagged = tuple(i for i in range(n) if s.parameters[min(i, len(s.parameters) - 1)].same) if s.returns == "T" else ()
+            kinds = [s.returns] if s.returns != "T" else ["BOOLEAN", "NUMERIC", "DATE", "STRING"]
+            names = {}
+            for kind in kinds:
+                names[kind] = f"millrace_{s.name}_{n}_{kind.lower()}_{uuid.uuid4().hex[:8]}"
+                self._register(names[kind], function, SPARK_TYPES[kind], s.deterministic, aggregate, vectorised)
+                if aggregate:
+                    self.aggregates.add(names[kind])
+            self.functions[(s.name, n)] = (names, tagged)
+
+    def add_functions(self, text: str, functions: Mapping) -> None:
+        """Register sets of definitions,  FUNCTION|AGGREGATE name { definition; ... } ..., whose functions are
+        looked up by name."""
+        for aggregate, _, specs in parse_sets(text):
+            for s in specs:
+                self.add_function(s, functions[s.name], aggregate)
+
+    def _register(self, name: str, function, kind: str, deterministic: bool, aggregate: bool, vectorised: bool) -> None:
+        if aggregate:
+
+            def run(*columns):
+                return function(*columns)
+
+            u = F.pandas_udf(run, kind, functionType=PandasUDFType.GROUPED_AGG)
+        elif vectorised:
+            u = F.pandas_udf(function, kind, functionType=PandasUDFType.SCALAR)
+        else:
+            u = F.udf(function, kind, useArrow=True)
+        self.spark.udf.register(name, u if deterministic or aggregate else u.asNondeterministic())
 
     # --- statements
     def sql(self, text: str, params: Sequence | Mapping | None = None) -> DataFrame:
@@ -122,6 +163,13 @@ class Session:
         df = self.sql(text, params)
         return df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), mode)
 
+    def parameters(self, params: Sequence | Mapping) -> DataFrame:
+        """The parameters of a statement as a table of one row: a column for each, by name or place."""
+        values = {f"p{i}": v for i, v in enumerate(params)} if isinstance(params, (list, tuple)) else dict(params)
+        if not values:
+            return self.spark.sql("SELECT 1 AS one").select()
+        return self.spark.sql("SELECT " + ", ".join(f":p_{i} AS `{k}`" for i, k in enumerate(values)), args={f"p_{i}": v for i, v in enumerate(values.values())})
+
     def analysed(self, text: str, values: Mapping) -> DataFrame:
         used = {f"p_{k}": v for k, v in values.items() if f":p_{k}" in text}
         return self.spark.sql(text, args=used) if used else self.spark.sql(text)
@@ -194,8 +242,68 @@ class Session:
         for k in d["constraints"]:
             if k.kind == "foreign":
                 self._no_cycle(key, self.key(k.target))
-        schema = T.StructType([T.StructField(c.name, T._parse_datatype_string(casts.spark_type(c.type, () if c.type == "string" else c.size)) if c.type != "decimal" or c.size else T.DoubleType()) for c in d["columns"]])
-        self.transaction.create(key, schema, d["columns"], d["constraints"])
+        self.transaction.create(key, T.StructType([self._field(c) for c in d["columns"]]), d["columns"], d["constraints"])
+        self._done()
+        return self._count(1)
+
+    def _field(self, c) -> T.StructField:
+        return T.StructField(c.name, T._parse_datatype_string(casts.spark_type(c.type, () if c.type == "string" else c.size)))
+
+    def _alter(self, s: Statement, values: dict) -> DataFrame:
+        d = s.data
+        key = self.key(d["table"])
+        v = self.transaction.version(key)
+        have = {c.name for c in v.columns}
+        if "add_column" in d:
+            c = d["add_column"]
+            if c.name in have:
+                raise DialectError(f"column {c.name} exists already")
+            value = F.lit(None) if c.default is None else F.expr(Lower(self, {}).expr(c.default))
+            if c.not_null and c.default is None and not v.df.isEmpty():
+                raise ValueError(f"{c.name} must not be NULL")
+            value = value.cast(self._field(c).dataType)
+            grown = lambda df: df.select(*[x for x in df.columns if x != ROW_ID], value.alias(c.name), ROW_ID)
+            v = replace(v, columns=(*v.columns, c), layers=tuple(replace(x, rows=x.rows if x.rows is None else grown(x.rows)) for x in v.layers))
+        elif "drop_column" in d:
+            name = d["drop_column"]
+            if name not in have:
+                raise DialectError(f"no column {name}")
+            if any(name in k.columns for k in (*v.constraints, *v.indexes)):
+                raise DialectError(f"{name} is part of a constraint or an index")
+            v = replace(v, columns=tuple(c for c in v.columns if c.name != name), layers=tuple(replace(x, rows=x.rows if x.rows is None else x.rows.drop(name)) for x in v.layers))
+        elif "add_constraint" in d:
+            if d["add_constraint"].kind == "foreign":
+                self._no_cycle(key, self.key(d["add_constraint"].target))
+            v = replace(v, constraints=(*v.constraints, d["add_constraint"]))
+        else:
+            left = tuple(k for k in v.constraints if k.name != d["drop_constraint"])
+            if len(left) == len(v.constraints):
+                raise DialectError(f"no constraint {d['drop_constraint']}")
+            v = replace(v, constraints=left)
+        self.transaction.alter(key, v)
+        self._done()
+        return self._count(1)
+
+    def _create_index(self, s: Statement, values: dict) -> DataFrame:
+        d = s.data
+        key = self.key(d["table"])
+        v = self.transaction.version(key)
+        if any(x.name == d["name"] for x in v.indexes):
+            raise DialectError(f"index {d['name']} exists already")
+        missing = [c for c in d["columns"] if c not in v.rows.columns]
+        if missing:
+            raise DialectError(f"no column {missing[0]}")
+        self.transaction.alter(key, replace(v, indexes=(*v.indexes, Index(d["name"], d["columns"], d["unique"]))))
+        self._done()
+        return self._count(1)
+
+    def _drop_index(self, s: Statement, values: dict) -> DataFrame:
+        d = s.data
+        found = [k for k, v in self.transaction.tables.items() if any(x.name == d["name"] for x in v.indexes) and (d["table"] is None or k == self.key(d["table"]))]
+        if len(found) != 1:
+            raise DialectError(f"{len(found)} indexes are named {d['name']}")
+        v = self.transaction.version(found[0])
+        self.transaction.alter(found[0], replace(v, indexes=tuple(x for x in v.indexes if x.name != d["name"])))
         self._done()
         return self._count(1)
 
@@ -235,9 +343,16 @@ class Session:
                 x = F.expr(Lower(self, {}).expr(defaults[f.name]))
             else:
                 x = F.lit(None)
-            out.append(x.cast(f.dataType).alias(f.name))
+            out.append(self._sized(v, f.name, x.cast(f.dataType)).alias(f.name))
         return given.select(*out)
 
+    def _sized(self, v: Version, column: str, value):
+        """The value of a column; one too long for the column's size stops the statement."""
+        size = next((c.size for c in v.columns if c.name == column and c.type == "string" and c.size), None)
+        if not size:
+            return value
+        return F.when(F.char_length(value) > size[0], F.raise_error(F.lit(f"{column} takes {size[0]} characters"))).otherwise(value)
+
     def _insert(self, s: Statement, values: dict) -> DataFrame:
         key = self.key(s.data["table"])
         v = self.transaction.version(key)
@@ -247,9 +362,7 @@ class Session:
         else:
             text = low.query(s.data["query"])
         rows = self._shaped(v, self.analysed(text, values), s.data["columns"])
-        before = self.transaction.tables[key].df.count()
-        self.transaction.insert(key, rows)
-        n = self.transaction.tables[key].df.count() - before
+        n = self.transaction.insert(key, rows)
         self._done()
         return self._count(n)
 
@@ -275,16 +388,15 @@ class Session:
         if unknown:
             raise DialectError(f"no column {unknown.pop()}")
         new = self.analysed("SELECT " + ", ".join(f"CAST({low.expr(sets[c])} AS {k}) AS `{c}`" if c in sets else f"`{c}`" for c, k in kinds.items()) + f" FROM `{view}`", values)
-        n = rows.count()
-        self.transaction.update(key, new)
+        v = self.transaction.version(key)
+        n = self.transaction.update(key, new.select(*[self._sized(v, c, F.col(c)).alias(c) for c in new.columns]))
         self._done()
         return self._count(n)
 
     def _delete(self, s: Statement, values: dict) -> DataFrame:
         key = self.key(s.data["table"])
         rows = self._where(key, s.data["where"], values)
-        n = rows.count()
-        self.transaction.delete(key, rows)
+        n = self.transaction.delete(key, rows)
         self._done()
         return self._count(n)
 
@@ -342,17 +454,26 @@ class UpdatableView:
         self._gone.append(row if isinstance(row, str) else row[ROW_ID])
 
     def finish(self) -> None:
+        """Writes what was gathered: one layer for all new rows, one for all changed and one for all deleted ones."""
         s, spark = self.session, self.session.spark
         v = s.transaction.version(self.key)
         schema = v.rows.schema
+        by: dict[tuple, list] = {}
         for values in self._new:
-            part = T.StructType([schema[c] for c in values])
-            s.transaction.insert(self.key, s._shaped(v, spark.createDataFrame([tuple(values.values())], part), list(values)))
-        for row_id, values in self._set.items():
-            df = s.transaction.tables[self.key].df.filter(F.col(ROW_ID) == row_id)
-            part = T.StructType([schema[c] for c in values])
-            one = spark.createDataFrame([tuple(values.values())], part).toDF(*[f"__{c}" for c in values])
-            s.transaction.update(self.key, df.crossJoin(F.broadcast(one)).select(*[F.col(f"__{c}").alias(c) if c in values else F.col(c) for c in df.columns]))
+            by.setdefault(tuple(values), []).append(tuple(values.values()))
+        new = [s._shaped(v, spark.createDataFrame(rows, T.StructType([schema[c] for c in names])), names) for names, rows in by.items()]
+        if new:
+            s.transaction.insert(self.key, reduce(DataFrame.unionByName, new))
+        if self._set:
+            names = sorted({c for values in self._set.values() for c in values})
+            fields = [T.StructField("__id", T.StringType())]
+            for i, c in enumerate(names):
+                fields += [T.StructField(f"__set{i}", T.BooleanType()), T.StructField(f"__{i}", schema[c].dataType)]
+            rows = [(row_id, *[x for c in names for x in (c in values, values.get(c))]) for row_id, values in self._set.items()]
+            changes = spark.createDataFrame(rows, T.StructType(fields))
+            joined = s.transaction.tables[self.key].df.join(changes, F.col(ROW_ID) == F.col("__id"))
+            pick = lambda c: F.when(F.col(f"__set{names.index(c)}"), F.col(f"__{names.index(c)}")).otherwise(F.col(c)) if c in names else F.col(c)
+            s.transaction.update(self.key, joined.select(*[s._sized(v, c, pick(c)).alias(c) for c in [*v.rows.columns, ROW_ID]]))
         if self._gone:
             s.transaction.delete(self.key, spark.createDataFrame([(g,) for g in self._gone], f"{ROW_ID} string"))
         self._new, self._set, self._gone = [], {}, []

@@ -13,7 +13,7 @@ _LAYOUTS = {
     "ConstraintsForeign": "table_schema string, table_name string, name string, column_set_id bigint, ref_table string, ref_column_set_id bigint, update_action string, delete_action string, deferred string",
     "ConstraintsCheck": "table_schema string, table_name string, name string, check_source string, deferred string",
     "DefaultColumnExpressions": "table_schema string, table_name string, column_name string, default_source string",
-    "Index": "table_schema string, table_name string, index_name string",
+    "Index": "table_schema string, table_name string, index_name string, column_set_id bigint, unique boolean",
     "EmptyRowTable": "nothing int",
     "OneRowTable": "one int",
 }
@@ -44,6 +44,8 @@ def system_table(spark: SparkSession, name: str, tables: dict, schemas: set[str]
                 out["DefaultColumnExpressions"].append((schema, table, c.name, c.default_source))
             if c.unique or c.primary:
                 out["ConstraintsUnique"].append((schema, table, None, column_set((c.name,)), "", c.primary))
+        for x in v.indexes:
+            out["Index"].append((schema, table, x.name, column_set(x.columns), x.unique))
         for k in v.constraints:
             if k.kind in ("primary", "unique"):
                 out["ConstraintsUnique"].append((schema, table, k.name, column_set(k.columns), k.deferrable, k.kind == "primary"))
