@@ -1,13 +1,15 @@
 """Toxicity: a second-order factorization machine over hashed terms.
 
-Terms are lower-cased words, the first bytes of longer ones, and how often those recur, hashed to
-24 bits; the buckets most associated with the label are kept as the machine's features, each with a linear weight and a factor vector, so that pairs of terms
-weigh in besides single ones. It is fitted on a bounded sample (FIT_ROWS) of labelled rows.
+Terms are lower-cased words, the stems of longer ones (besides the words themselves), and how often those recur,
+hashed to 24 bits; all buckets associated with the label are the machine's features, each with a linear
+weight and a factor vector, so that pairs of terms weigh in besides single ones. It is fitted on a bounded
+sample (FIT_ROWS) of labelled rows. The form of the terms and the bar for them were chosen by cross-validation within
+the rows that may be learned from.
 
 Defined cases: a null text counts as empty; an empty text gets the bias alone; texts are read whole;
 repeated rows and null ids are scored row by row; other columns are never read; without labelled
 rows of both classes every score is that of the one class (0 without any); without a term that tells the
-classes apart every score is the share of toxic rows.
+classes apart every score is the share of toxic rows; a score at the cut is toxic; ids may be of any type.
 """
 
 from __future__ import annotations
@@ -24,7 +26,6 @@ from pyspark.sql import functions as F
 from millrace.llm import common
 
 FIT_ROWS = 8000
-TERMS = 512
 FACTORS = 8
 BITS = 24
 STEM = 6
@@ -98,40 +99,34 @@ def fit(x: np.ndarray, y: np.ndarray, active: np.ndarray, factors: int = FACTORS
 
 def _hashed(batches):
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("y"), pa.array([terms(t).astype(np.int32) for t in b.column("text").to_pylist()], pa.list_(pa.int32()))], names=["id", "y", "h"])
+        yield pa.RecordBatch.from_arrays([b.column("y"), pa.array([terms(t).astype(np.int32) for t in b.column("text").to_pylist()], pa.list_(pa.int32()))], names=["y", "h"])
 
 
-def fit_on_labels(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, n_terms: int = TERMS) -> Machine:
-    """Fit on at most `rows` of the given labelled rows, with at most `n_terms` buckets.
+def fit_on_labels(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Machine:
+    """Fit on at most `rows` of the given labelled rows, with every bucket that passes the bar.
 
-    The counts behind the choice of buckets are aggregated by Spark; the driver gets n_terms buckets
-    and, for each sampled row, the positions of its active ones.
+    The counts behind the choice of buckets are aggregated by Spark; the driver gets the chosen buckets
+    and, for each sampled row, those of its own.
     """
     spark = docs.sparkSession
     common.small_batches(spark)
-    ids = common.sample_ids(labels.filter(F.col("toxic").isNotNull()), "doc_id", rows, ["toxic"])
-    empty = fit(np.zeros((0, 0)), np.zeros(0), np.zeros(0, np.int64))
-    if not ids:
-        return empty
-    chosen = spark.createDataFrame([(int(r[0]), float(r[1] > 0)) for r in ids], "id bigint, y double")
-    joined = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(chosen), "id").select("id", "y", "text")
-    hashed = common.written(joined.mapInArrow(_hashed, "id bigint, y double, h array<int>"), "toxic-terms")
+    sample = common.labelled_texts(docs, labels, "toxic", rows)
+    hashed = common.written(sample.select("y", "text").mapInArrow(_hashed, "y double, h array<int>"), "toxic-terms")
     n, pos = hashed.agg(F.count("*"), F.sum("y")).first()
-    if not n or not pos or pos == n:
-        return fit(np.zeros((n, 0)), np.full(n, float(bool(pos))), np.zeros(0, np.int64)) if n else empty
-    counts = hashed.select("y", F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("c"), F.sum("y").alias("a"))
-    gap = F.col("a") * float(n) - F.col("c") * float(pos)
-    chi = gap * gap / (F.col("c") * (n - F.col("c") + 0.5))
-    top = counts.filter((F.col("c") >= LEAST_ROWS) & (chi * n / (pos * (n - pos)) >= min(LEAST_CHI2, LEAST_CHI2_SHARE * n))).orderBy(chi.desc(), "h").limit(n_terms).select("h").collect()
-    active = np.array(sorted(r[0] for r in top), np.int64)
+    active = np.zeros(0, np.int64)
+    if n and 0 < pos < n:
+        counts = hashed.select("y", F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("c"), F.sum("y").alias("a"))
+        gap = F.col("a") * float(n) - F.col("c") * float(pos)
+        chi = gap * gap / (F.col("c") * (n - F.col("c") + 0.5)) * (n / (pos * (n - pos)))
+        passing = counts.filter((F.col("c") >= LEAST_ROWS) & (chi >= min(LEAST_CHI2, LEAST_CHI2_SHARE * n))).select("h").collect()
+        active = np.array(sorted(r[0] for r in passing), np.int64)
     keep = F.array(*[F.lit(int(h)) for h in active]) if len(active) else F.array().cast("array<int>")
-    got = hashed.select("id", "y", F.array_intersect("h", keep).alias("h")).limit(2 * rows).collect()
-    got.sort(key=lambda r: (r[0], r[1], r[2]))
+    got = sorted((r[0], sorted(r[1])) for r in hashed.select("y", F.array_intersect("h", keep)).collect())
     x = np.zeros((len(got), len(active)), np.float32)
-    for i, r in enumerate(got):
-        x[i, np.searchsorted(active, np.array(r[2], np.int64))] = 1
+    for i, (_, own) in enumerate(got):
+        x[i, np.searchsorted(active, np.array(own, np.int64))] = 1
     common.drop_written(spark, hashed)
-    return fit(x, np.array([r[1] for r in got]), active)
+    return fit(x, np.array([y for y, _ in got]), active)
 
 
 def scored(docs: DataFrame, model: Machine, out: str = "toxicity", cut: float = CUT) -> DataFrame:
