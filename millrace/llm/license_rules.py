@@ -62,7 +62,7 @@ apache-2.0|3|apache| www apache org licen[sc]es licen[sc]e 2 0
 apache-2.0|3|compliance| you may not use this file except in compliance with the licen[sc]e
 apache-2.0|3|as is| distributed on an as is basis without warranties or conditions of any kind
 apache-2.0|4|terms and conditions| terms and conditions for use reproduction and distribution
-apache-2.0|4|derivative works| unless required by applicable law or agreed to in writing software distributed under the licen[sc]e
+apache-2.0|4|unless required| unless required by applicable law or agreed to in writing software distributed under the licen[sc]e
 apache|1|apache| apache (software )?licen[sc]e
 apache|2|apache| licen[sc]ed (to|under) the apache( software foundation)?( licen[sc]e)?
 mit|2|mit licen| (the )?mit licen[sc]e
@@ -218,11 +218,11 @@ commons-clause|2|commons clause| commons clause( licen[sc]e condition)?
 polyform|2|polyform| polyform (noncommercial|shield|strict|small business|perimeter|internal use) licen[sc]e
 bigscience-rail|2|rail| (bigscience |open ?)?rail( m)? licen[sc]e
 llama|2|llama| llama ?[23]?( [0-9])? community licen[sc]e
-copyright|1|copyright| copyright (c )?([0-9]{4} )+
+copyright|1|copyright| copyright( c)?( [0-9]{4})+
 copyright|2|copyright| copyright (c )?([0-9]{4} )+.{1,60}? all rights reserved
 reserved|1|rights reserved| all rights reserved
 reserved|1|rights reserved| some rights reserved
-reserved|3|without permission| no part of this (publication|work|document|book) may be reproduced
+reserved|3|no part of| no part of this (publication|work|document|book) may be reproduced
 proprietary|3|proprietary| (this (software|document) (is|contains) )?proprietary and confidential
 proprietary|2|proprietary| proprietary licen[sc]e
 proprietary|2|commercial licen| commercial licen[sc]e( agreement)?
@@ -239,7 +239,7 @@ warranty-disclaimer|2|warrant| no warrant(y|ies)
 liability-disclaimer|2|liab| in no event shall .{1,80} be liable
 spdx|1|spdx| spdx licen[sc]e identifier
 see-license|1|licen| (see|refer to) (the )?(file )?licen[sc]e( file| txt| md)?( for details)?
-licensed-unknown|1|licen| (licen[sc]ed|released|distributed|available) under (the |a |an )?(terms of )?
+licensed-unknown|1|licen| (licen[sc]ed|released|distributed|available) under( the| a| an)?( terms of)?( the| a| an)?
 """
 
 

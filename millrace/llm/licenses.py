@@ -5,7 +5,8 @@ by plain string functions. The hand-written regexes of license_rules run only wh
 the text, and overlapping detections are resolved by level and interval containment in one sorted pass.
 
 Defined cases: a null text counts as empty: 0 words, null first_word and last_word, empty labels,
-score 0; texts are scanned whole; repeated rows each get a row; other columns are never read.
+score 0; texts are scanned whole; repeated rows each get a row; detections of one stretch and level all count;
+other columns are never read.
 """
 
 from __future__ import annotations
@@ -53,19 +54,32 @@ def _gate() -> str:
     return " (?:" + "|".join(c + "(?:" + "|".join(sorted(rest)) + ")" for c, rest in sorted(by.items())) + ")"
 
 
+#: Matches whose places are added up at a time; it bounds the arrays that grow by one.
+CHUNK = 256
+
+
 def _places(line: Column, rule: Column) -> Column:
-    """All matches of the rule as (start, -end, level, label)."""
+    """All matches of the rule as (start, -end, level, label): the lengths between and of the matches, added
+    up in chunks, each from where the one before ends."""
     between, found = F.split(line, rule["regex"]), F.regexp_extract_all(line, rule["regex"], F.lit(0))
-    zipped = F.arrays_zip(F.slice(between, 1, F.size(found)).alias("gap"), found.alias("hit"))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int>>").alias("out"))
+    sizes = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda gap, hit: F.struct(F.length(gap).alias("gap"), F.length(hit).alias("hit")))
+    chunk = lambda all_, i: F.slice(all_, i * CHUNK + 1, F.lit(CHUNK))
+    none = F.array().cast("array<struct<s:int,e:int>>")
 
     def step(acc, x):
-        s = acc["at"] + F.length(x["gap"])
-        e = s + F.length(x["hit"])
+        s = acc["at"] + x["gap"]
+        e = s + x["hit"]
         return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e")))).alias("out"))
 
-    spans = F.aggregate(zipped, empty, step)["out"]
-    return F.transform(spans, lambda p: F.struct(p["s"].alias("s"), (-p["e"]).alias("e"), (-rule["level"]).alias("level"), rule["label"].alias("label")))
+    def spans(all_):
+        which = F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / CHUNK).cast("int"))
+        sums = F.transform(which, lambda i: F.aggregate(chunk(all_, i), F.lit(0), lambda n, x: n + x["gap"] + x["hit"]))
+        starts = F.aggregate(sums, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))["out"]
+        return F.flatten(F.zip_with(which, starts, lambda i, at: F.aggregate(chunk(all_, i), F.struct(at.alias("at"), none.alias("out")), step)["out"]))
+
+    # a lambda's argument is evaluated once, however often it stands in the body
+    whole = F.element_at(F.transform(F.array(sizes), lambda all_: F.when(F.size(all_) > 0, spans(all_)).otherwise(none)), 1)
+    return F.transform(whole, lambda p: F.struct(p["s"].alias("s"), (-p["e"]).alias("e"), (-rule["level"]).alias("level"), rule["label"].alias("label")))
 
 
 def _surviving(hits: Column) -> Column:
@@ -90,7 +104,7 @@ def _surviving(hits: Column) -> Column:
 
 def scanned(docs: DataFrame, out: str = "license") -> DataFrame:
     """docs with a struct column `out` of the scan's results."""
-    line = "__millrace_line"
+    line, held = common.free_name(docs, "line"), common.free_name(docs, "found")
     d = docs.withColumn(line, words_line(F.col("text")))
     t = F.col(line)
     n_words = F.when(t == "  ", 0).otherwise(_spaces(t) - 1).cast("long")
@@ -102,15 +116,15 @@ def scanned(docs: DataFrame, out: str = "license") -> DataFrame:
     gate = F.rlike(t, F.lit(_gate()))
     chosen = F.flatten(F.transform(F.filter(_groups(), lambda g: F.contains(t, F.concat(F.lit(" "), g["keyword"]))), lambda g: g["rules"]))
     hits = F.sort_array(F.flatten(F.transform(F.filter(chosen, lambda r: F.rlike(t, r["regex"])), lambda r: _places(t, r))))
-    d = d.withColumn("__millrace_found", F.when(gate, _surviving(hits)))
-    found = F.coalesce(F.col("__millrace_found.labels"), F.array().cast("array<string>"))
+    d = d.withColumn(held, F.when(gate, _surviving(hits)))
+    found = F.coalesce(F.col(held)["labels"], F.array().cast("array<string>"))
     labels = F.array_sort(F.array_union(base, found))
-    best = F.greatest(F.coalesce(F.col("__millrace_found.best"), F.lit(0)), F.when(F.size(base) > 0, 2).otherwise(0))
+    best = F.greatest(F.coalesce(F.col(held)["best"], F.lit(0)), F.when(F.size(base) > 0, 2).otherwise(0))
     result = F.struct(
         n_words.alias("n_words"), n_base.alias("n_base"), first.alias("first_word"), last.alias("last_word"),
         F.array_join(F.array_sort(base), ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), (best / F.lit(float(LEVELS))).cast("double").alias("score"),
     )
-    return d.withColumn(out, result).drop(line, "__millrace_found")
+    return d.withColumn(out, result).drop(line, held)
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
