@@ -8,8 +8,8 @@ already, and the parser takes one off. Escaping is one-to-one and leaves no cont
 round of it always suffices; the `identical` column says that the final output was checked.
 
 Defined cases: null text or role is the empty string; rows are ordered by turn (null first), then
-role and text, so repeated rows stay side by side; rows with a null conv_id are one conversation; an
-empty table gives no rows; other columns are never read. The digest of a conversation needs its
+role and text, so repeated rows stay side by side; rows with a null conv_id are one conversation; a
+conversation -1 of the source stands beside op7's own; an empty table gives no rows; other columns are never read. The digest of a conversation needs its
 whole text in order, so a conversation (alone) must fit in a task.
 """
 
@@ -46,10 +46,10 @@ def parse(formatted: Column) -> Column:
     return F.transform(bodies, lambda b: F.struct(unescape(role(b)).alias("role"), unescape(F.substring(b, F.char_length(role(b)) + len(MIDDLE) + 1, F.lit(2**31 - 1))).alias("text")))
 
 
-def conversations(rows: DataFrame) -> DataFrame:
-    """One row for each conv_id: turns, in order, as array<struct<role, text>>."""
+def conversations(rows: DataFrame, *also: str) -> DataFrame:
+    """One row for each conv_id (and each value of the columns `also`): turns, in order, as array<struct<role, text>>."""
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    grouped = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("all"))
+    grouped = rows.groupBy("conv_id", *also).agg(F.sort_array(F.collect_list(turn)).alias("all"))
     return grouped.select("conv_id", F.transform("all", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
 
 
@@ -71,7 +71,8 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(-1).cast(kinds["conv_id"]).alias("conv_id"),
         F.explode(F.array(F.struct(F.lit(0).cast(kinds["turn"]).alias("turn"), F.lit("user").alias("role"), F.lit(PROBE).alias("text")), F.struct(F.lit(1).cast(kinds["turn"]).alias("turn"), F.lit("assistant").alias("role"), F.lit(PROBE).alias("text")))).alias("t"),
     ).select("conv_id", "t.*")
-    done = formatted(conversations(rows.unionByName(probe)))
+    both = rows.withColumn("probe", F.lit(False)).unionByName(probe.withColumn("probe", F.lit(True)))
+    done = formatted(conversations(both, "probe"))
     digest = F.array_join(F.transform("parsed", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     loss = F.array_join(F.transform(F.filter("parsed", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
     return done.select(
@@ -88,8 +89,8 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = r"""
 WITH rows_ AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, false AS probe FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]', true UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]', true
 ), e AS (
   SELECT *, regexp_matches(role || chr(10) || text, '[<\[]~*(/?s>|/?INST\])') AS bad,
     regexp_replace(role, '([<\[])(~*)(/?s>|/?INST\])', '\1~\2\3', 'g') AS erole, regexp_replace(text, '([<\[])(~*)(/?s>|/?INST\])', '\1~\2\3', 'g') AS etext
@@ -99,7 +100,7 @@ WITH rows_ AS (
     string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS digest,
     coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
     sum(length(erole) + length(etext) + 20) AS elen, sum(length(role) + length(text) + 20) AS plen
-  FROM e GROUP BY conv_id
+  FROM e GROUP BY conv_id, probe
 )
 SELECT conv_id, n::BIGINT AS n_turns, sha256(digest) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256,
   (CASE WHEN bad THEN elen ELSE plen END)::BIGINT AS formatted_chars, bad AS escaped, true AS identical
