@@ -41,6 +41,16 @@ class Call(Expr):
     order: tuple = ()
 
 
+@dataclass(frozen=True)
+class Over(Expr):
+    """A call over a window of rows; frame: the bounds of ROWS, or None."""
+
+    call: Call
+    partition: tuple = ()
+    order: tuple = ()
+    frame: tuple[str, str] | None = None
+
+
 @dataclass(frozen=True)
 class Cast(Expr):
     value: Expr

@@ -85,6 +85,8 @@ SCALARS: dict[str, Function] = {
     "current_time": Function(0, 0, lambda: "date_format(current_timestamp(), 'HH:mm:ss')"),
     "current_timestamp": Function(0, 0, lambda: "current_timestamp()"),
     "neg": Function(1, 1, lambda x: f"(- {x})"),
+    "composite": Function(1, INF, lambda *a: f"struct({', '.join(f'{x} AS p{i}' for i, x in enumerate(a))})"),
+    "composite_fetch": Function(2, 2, lambda c, i: f"({c}).p{int(i)}"),
 }
 AGGREGATES: dict[str, Function] = {
     "count": Function(1, 1, lambda x: f"count({x})", True),

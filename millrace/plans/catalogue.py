@@ -146,6 +146,8 @@ TEXTS: dict[str, tuple[str, object]] = {
     "ag13_all": ("SELECT count(ALL o_orderkey) AS n FROM orders", "SELECT count(o_orderkey) AS n FROM orders"),
     "ag15_order_by_aggregate": ("SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey ORDER BY count(*) DESC, o_custkey", SAME),
     "flagship_group_select": (FLAGSHIP, FLAGSHIP.replace("group_concat(DISTINCT c.c_mktsegment)", "string_agg(DISTINCT c.c_mktsegment, ', ' ORDER BY c.c_mktsegment)")),
+    "win_rank": ("SELECT o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r, lag(o_orderkey, 1) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS b FROM orders", SAME),
+    "win_sums": ("SELECT l_orderkey AS k, l_linenumber AS n, sum(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS s, max(l_quantity) OVER (PARTITION BY l_orderkey) AS m FROM lineitem", "SELECT l_orderkey AS k, l_linenumber AS n, CAST(sum(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS BIGINT) AS s, max(l_quantity) OVER (PARTITION BY l_orderkey) AS m FROM lineitem"),
     # sort, limit, sets
     "so1_order_by": ("SELECT p_partkey, p_size FROM part ORDER BY p_size DESC, p_partkey ASC", SAME),
     "so4_order_by_alias": ("SELECT s_suppkey AS k, s_acctbal * 2 AS v FROM supplier ORDER BY v, k", SAME),

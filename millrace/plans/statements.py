@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from datetime import datetime
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +15,7 @@ from millrace.functions.spec import parse_sets, parse_spec
 from millrace.functions.values import Value
 from millrace.operators.asof import asof_join, interval_join
 from millrace.session import CommitError, Session, expression
-from millrace.sources import files
+from millrace.sources import files, wire
 from millrace.sources.connector import FolderConnector
 from millrace.streaming.windows import windowed
 
@@ -163,6 +165,18 @@ def ex17_current(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Session(spark).sql("SELECT CURRENT_DATE <= CURRENT_TIMESTAMP AS d, CURRENT_TIME LIKE '__:__:__' AS t, CURRENT_TIMESTAMP > CAST('2020-01-01' AS TIMESTAMP) AS s")
 
 
+@registered("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 250000.5 AND o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderpriority <> '5-LOW'")
+def sc17_wire_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A statement and its parameters sent as bytes."""
+    sent = wire.packed("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > :least AND o_orderdate >= :day AND o_orderpriority <> :low", {"least": Decimal("250000.5"), "day": datetime(1996, 1, 1), "low": "5-LOW"})
+    return Session(spark, sf_dir).sql(*wire.unpacked(sent))
+
+
+@registered("SELECT n_nationkey AS k, n_name AS a, n_regionkey + 1 AS b FROM nation")
+def ex19_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Session(spark, sf_dir).sql("SELECT n_nationkey AS k, composite_fetch(composite(n_name, n_regionkey + 1), 0) AS a, composite_fetch(composite(n_name, n_regionkey + 1), 1) AS b FROM nation")
+
+
 # --- joins that the dialect has no words for
 @registered("SELECT e.event_id, e.user_id, max(p.event_id) AS before_id FROM events e LEFT JOIN events p ON p.user_id = e.user_id AND p.event_type = 'click' AND p.ts < e.ts AND p.ts >= e.ts - INTERVAL 2 HOUR AND NOT EXISTS (SELECT 1 FROM events q WHERE q.user_id = p.user_id AND q.event_type = 'click' AND q.ts < e.ts AND q.ts > p.ts) WHERE e.event_type = 'purchase' GROUP BY e.event_id, e.user_id")
 def jo15_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -300,6 +314,30 @@ def d5_alter_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.sql("SELECT k, note, size FROM t")
 
 
+@registered(told([("listed", "by_k k,name true"), ("broken", "1"), ("mended", "0"), ("listed then", "by_k k,name true")]))
+def d8_index_after_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index stays with its table through changes of rows, and a unique one can be checked."""
+    s = Session(spark, sf_dir)
+    s.sql("CREATE TABLE t (k INTEGER, name VARCHAR(20)); CREATE UNIQUE INDEX by_k ON t (k, name); INSERT INTO t SELECT n_nationkey, n_name FROM nation")
+    shown = lambda: s.scalar("SELECT concat(i.index_name, ' ', c.names, ' ', lower(i.unique)) FROM SYSTEM.Index i, (SELECT id, replace(group_concat(column_name ORDER BY seq_no), ', ', ',') AS names FROM SYSTEM.ColumnSet GROUP BY id) c WHERE c.id = i.column_set_id")
+    out: list[tuple[str, object]] = [("listed", shown())]
+    s.sql("INSERT INTO t VALUES (3, 'NATION_3')")
+    out.append(("broken", s.check("t")["unique(k,name)"]))
+    s.sql("UPDATE t SET name = 'all' WHERE k > 20; DELETE FROM t WHERE k = 3")
+    return facts(spark, [*out, ("mended", s.check("t")["unique(k,name)"]), ("listed then", shown())])
+
+
+@registered("SELECT n_name AS name, 'APP large VIEW' AS shown, 'name string, k int' AS shape FROM nation WHERE n_nationkey > 12")
+def d18_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CREATE VIEW, SHOW TABLES, DESCRIBE, DROP VIEW: extensions."""
+    s = Session(spark, sf_dir)
+    s.sql("CREATE VIEW large AS SELECT n_name AS name, n_nationkey AS k FROM nation WHERE n_nationkey > 10; CREATE VIEW gone AS SELECT 1 AS one; DROP VIEW gone")
+    shown = "; ".join(" ".join(r) for r in s.sql("SHOW TABLES").collect())
+    shape = ", ".join(f"{r.column_name} {r.column_type}" for r in s.sql("DESCRIBE large").collect())
+    assert outcome(lambda: s.sql("INSERT INTO large VALUES ('x', 1)")) == "PermissionError"
+    return s.sql(f"SELECT name, '{shown}' AS shown, '{shape}' AS shape FROM large WHERE k > 12")
+
+
 @registered(told([("drop", "fine"), ("drop again", "DialectError"), ("drop if exists", "fine"), ("select", "DialectError"), ("create twice", "DialectError"), ("create if not exists", "0"), ("index of no column", "DialectError"), ("size", "raised")]))
 def d5_drop_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = Session(spark, sf_dir)

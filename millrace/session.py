@@ -317,6 +317,23 @@ class Session:
                 seen.add(t)
                 todo += [self.key(k.target) for k in self.transaction.tables[t].constraints if k.kind == "foreign"]
 
+    def _create_view(self, s: Statement, values: dict) -> DataFrame:
+        """The query's plan under a name; as its tables stand now, like every frame here."""
+        key = self.key(s.data["table"])
+        if key in self.transaction.tables:
+            raise DialectError(f"{'.'.join(key)} exists already")
+        self.transaction.add_view(key, self._select(s, values))
+        self._done()
+        return self._count(1)
+
+    def _show_tables(self, s: Statement, values: dict) -> DataFrame:
+        rows = [(k[0], k[1], v.kind) for k, v in sorted(self.transaction.tables.items())]
+        return self.spark.createDataFrame(rows, "table_schema string, table_name string, table_type string")
+
+    def _describe(self, s: Statement, values: dict) -> DataFrame:
+        df = self.spark.table(self.view(s.data["table"])).drop(ROW_ID)
+        return self.spark.createDataFrame([(i, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema)], "seq_no int, column_name string, column_type string")
+
     def _drop(self, s: Statement, values: dict) -> DataFrame:
         key = self.key(s.data["table"])
         if key not in self.transaction.tables:
@@ -416,7 +433,7 @@ class Session:
         v = self.transaction.version(key)
         out: dict[str, int] = {}
         df = v.rows
-        unique = [(c.name,) for c in v.columns if c.unique or c.primary] + [k.columns for k in v.constraints if k.kind in ("primary", "unique")]
+        unique = [(c.name,) for c in v.columns if c.unique or c.primary] + [k.columns for k in (*(k for k in v.constraints if k.kind in ("primary", "unique")), *(x for x in v.indexes if x.unique))]
         for columns in unique:
             extra = df.groupBy(*columns).count().filter("count > 1").agg(F.sum(F.col("count") - 1)).first()[0]
             out[f"unique({','.join(columns)})"] = extra or 0
