@@ -538,5 +538,5 @@ def tokenizer_path() -> str:
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = common.spread(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
     return coded(docs, tokenizer_path()).select("doc_id", "bpe.*")

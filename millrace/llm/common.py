@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 #: Texts and bytes per Arrow batch. They bound a Python worker's memory when texts are long.
 BATCH_ROWS = 256
 BATCH_BYTES = 16 << 20
+#: Bytes of a file that are worth a task of their own.
+SPREAD_BYTES = 1 << 20
 
 _OWN: dict[str, str] = {}
 
@@ -24,6 +26,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table that the reader would give to fewer tasks than there are cores, dealt out to as many as its
+    size is worth. A large table has tasks enough and stays as it is; results are the same either way."""
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    read = re.match(r"\d+", spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    unit = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(spark.conf.get("spark.sql.files.maxPartitionBytes").lower()[len(read[0]) : len(read[0]) + 1], 1)
+    tasks, worth = -(-size // (int(read[0]) * unit)), min(spark.sparkContext.defaultParallelism, -(-size // SPREAD_BYTES))
+    return df.repartition(worth) if tasks < worth else df
+
+
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of at most BATCH_ROWS rows and BATCH_BYTES bytes (a larger limit that the session
     has is lowered, a smaller one stays), so that a batch of long texts stays small; and this package

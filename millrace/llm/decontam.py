@@ -150,7 +150,7 @@ def matched(docs: DataFrame, items: list[tuple[int, str]], out: str = "leaks", k
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each document and benchmark item that it holds."""
-    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = common.spread(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
     benchmark, out = common.table(spark, sf_dir, "benchmark"), None
     for block in blocks(benchmark):
         found = matched(docs, block, kind=benchmark.schema["item_id"].dataType).select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")

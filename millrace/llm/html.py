@@ -325,5 +325,5 @@ def extracted(pages: DataFrame, weights: tuple[float, ...] = HAND, out: str = "m
 
 
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = common.table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    pages = common.spread(common.table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return extracted(pages, fit_on_pages(pages)).select("page_id", "url", "main.*")

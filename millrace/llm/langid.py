@@ -146,7 +146,7 @@ def scored(docs: DataFrame, model: Model, out: str = "language") -> DataFrame:
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    docs = common.spread(common.table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
     held_out = common.crc_mod("doc_id", 5) == 0
     model = fit_on_documents(docs.select("doc_id", "lang", "text").filter(~held_out))
     return scored(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "language.*")

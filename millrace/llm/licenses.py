@@ -11,6 +11,7 @@ other columns are never read.
 
 from __future__ import annotations
 
+import json
 from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,12 +39,12 @@ def _spaces(text: Column) -> Column:
 
 
 def _groups() -> Column:
-    """Array of (keyword, its rules) as a constant."""
+    """Array of (keyword, its rules) as a constant, which the optimizer folds."""
     by = defaultdict(list)
     for label, level, keyword, regex in rules():
-        by[keyword].append((label, level, regex))
-    rule = lambda r: F.struct(F.lit(r[0]).alias("label"), F.lit(r[1]).alias("level"), F.lit(r[2]).alias("regex"))
-    return F.array(*[F.struct(F.lit(k).alias("keyword"), F.array(*map(rule, rs)).alias("rules")) for k, rs in by.items()])
+        by[keyword].append({"label": label, "level": level, "regex": regex})
+    kind = "array<struct<keyword: string, rules: array<struct<label: string, level: int, regex: string>>>>"
+    return F.from_json(F.lit(json.dumps([{"keyword": k, "rules": r} for k, r in by.items()])), kind)
 
 
 def _gate() -> str:
@@ -128,5 +129,5 @@ def scanned(docs: DataFrame, out: str = "license") -> DataFrame:
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = common.spread(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
     return scanned(docs).select("doc_id", "license.*")

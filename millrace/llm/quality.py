@@ -201,7 +201,7 @@ def scored(docs: DataFrame, model: Trees, out: str = "quality", threshold: float
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    docs = common.spread(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
     model = fit_on_labels(docs, common.table(spark, sf_dir, "labels"))
     return scored(docs.select("doc_id", "text"), model).select("doc_id", "quality.*")
 

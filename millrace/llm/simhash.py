@@ -206,7 +206,7 @@ def named(fps: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = common.spread(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
     prints = common.written(fingerprinted(docs, 4).select("doc_id", "fp", salt.alias("salt")), "simhash-prints")
     fps = common.written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), common.salts_seen("salt").alias("salts")), "simhash-fps")

@@ -145,7 +145,7 @@ def scored(docs: DataFrame, model: Machine, out: str = "toxicity", cut: float =
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = common.spread(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
     labels = common.table(spark, sf_dir, "labels")
     model = fit_on_labels(docs, labels.filter(common.crc_mod("doc_id", 3) != 1))
     return scored(docs, model).select("doc_id", (common.crc_mod("doc_id", 3) == 1).alias("held_out"), "toxicity.*")

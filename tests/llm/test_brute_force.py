@@ -418,3 +418,10 @@ def test_stages_leave_clashing_columns_alone(spark):
         out = stage(spark, out, SMALL)
         assert out.columns == docs.columns
     assert out.select("__millrace_leaks", "__millrace_id").distinct().collect() == [(5, 4)]
+
+
+def test_small_tables_are_dealt_out_over_the_cores(spark):
+    documents = common.table(spark, "/root/testdata/sf0.1", "documents")
+    assert documents.rdd.getNumPartitions() < 8 == common.spread(documents).rdd.getNumPartitions()
+    region = common.table(spark, SMALL, "region")
+    assert common.spread(region).rdd.getNumPartitions() == region.rdd.getNumPartitions()
