@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -20,6 +21,9 @@ BATCH_BYTES = 16 << 20
 SPREAD_BYTES = 1 << 20
 
 _OWN: dict[str, str] = {}
+#: Folders that written() has made, for each settled() that is under way.
+_MADE: list[list[str]] = []
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,19 +83,53 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """df written as Parquet in the shared folder and read back: lineage is cut, nothing
-    is kept on one executor only, and the plan above sees true sizes."""
+    is kept on one executor only, and the plan above sees true sizes. What the executors have shuffled for
+    it goes with it, as nothing reads that again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    for made in _MADE[-1:]:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """What make() returns, written; all else that written() has made meanwhile goes."""
+    _MADE.append([])
+    out = None
+    try:
+        out = written(make(), label)
+    finally:
+        made = _MADE.pop()
+        keep = made[-1:] if out is not None else []
+        _delete(spark, set(made) - set(keep))
+        for outer in _MADE[-1:]:
+            outer += keep
+    return out
+
+
+def release(spark: SparkSession) -> None:
+    """Have Spark drop the shuffle files of plans that nobody holds any more. It does so when the driver collects
+    garbage, by itself only every half hour."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop_written(spark: SparkSession, *frames: DataFrame) -> None:
     """Remove the files of frames that written() made and nobody reads any more. What a lazy result
     still reads cannot go; that stays in the shared folder until the caller clears it."""
+    _delete(spark, {f.rsplit("/", 1)[0] for df in frames for f in df.inputFiles()})
+
+
+def _delete(spark: SparkSession, folders: Iterable[str]) -> None:
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for df in frames for f in df.inputFiles()}:
+    for folder in folders:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(conf).delete(path, True)
 

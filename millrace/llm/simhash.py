@@ -55,24 +55,20 @@ def turan_triples(groups: tuple[tuple[int, ...], ...] = ((0, 1, 2), (3, 4, 5), (
 
 
 SUBSETS = turan_triples()
-LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def fingerprint(text: str | None, shingle: int) -> int:
-    """SimHash of a whole text as a signed 64-bit integer; in pieces, to bound memory."""
-    words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
-    if not words:
-        return 0
-    line = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    n = max(len(words) - shingle + 1, 1)
-    first, last = starts[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist()
+def majority(hashes: np.ndarray) -> int:
+    """Bits set in over half the 64-bit hashes, as a signed integer; in pieces, to bound memory."""
     ones, step = np.zeros(64, np.int64), 1 << 16
-    for at in range(0, n, step):
-        h = np.array([xxh64_intdigest(line[a:b], 42) for a, b in zip(first[at : at + step], last[at : at + step])], ">u8")
+    for at in range(0, len(hashes), step):
+        h = hashes[at : at + step].astype(">u8")
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n).view(">i8")[0])
+    return int(np.packbits(2 * ones > len(hashes)).view(">i8")[0])
+
+
+def fingerprint(text: str | None, shingle: int) -> int:
+    """SimHash of a whole text; zero if it has no words."""
+    return majority(setjoin.shingles(setjoin.words_of(text), shingle))
 
 
 def fingerprinted(docs: DataFrame, shingle: int, out: str = "fp") -> DataFrame:
@@ -224,17 +220,13 @@ def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
 
     To choose, ids, hashes, prefixes and the sets that met are shuffled, and the texts of those;
     all texts are shuffled once, to be filtered, and again only those of rows that stand several times.
+    Each table made on the way goes as soon as nothing reads it.
     """
-    prints = common.written(setjoin.described(docs.select("doc_id", "text"), shingle), "near-dedup-prints")
-    rows = prints.groupBy("fp", "doc_id", "hash").agg(F.count("*").alias("copies"))
-    first = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash", "copies")).alias("best"))
-    one = F.min(F.struct("hash", "n", "prefix", "bitmap")).alias("k")
-    entries = common.written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), one).select("fp", "first_id", "k.*"), "near-dedup-entries")
-    groups = named(entries.select("fp", "first_id"), setjoin.links(docs, entries, shingle)).select("fp", "root")
-    best = first.join(groups, "fp").groupBy("root").agg(F.min("best").alias("k"))
+    spark = docs.sparkSession
+    common.release(spark)
     mine = [common.free_name(docs, x) for x in ("id", "hash", "copies", "text", "part")]
     c_id, c_hash, c_copies, text, part = mine
-    chosen = common.written(best.select(F.col("k.doc_id").alias(c_id), F.col("k.hash").alias(c_hash), F.col("k.copies").alias(c_copies)), "near-dedup-chosen")
+    chosen = common.settled(spark, lambda: _chosen(docs, shingle).toDF(c_id, c_hash, c_copies), "near-dedup-chosen")
     marked = docs.withColumn(text, F.xxhash64("text"))
     same = F.col("doc_id").eqNullSafe(F.col(c_id)) & (F.col(text) == F.col(c_hash))
     once = marked.join(chosen.filter(F.col(c_copies) == 1).hint("shuffle_hash"), same, "left_semi").drop(text)
@@ -247,3 +239,18 @@ def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
     dealt = marked.withColumn(part, F.pmod(F.spark_partition_id(), F.lit(SALTS)))
     several = dealt.join(spread.hint("shuffle_hash"), same & (F.col(part) == F.col(right)), "left_semi").drop(part)
     return once.unionByName(several.dropDuplicates(["doc_id", text]).drop(text))
+
+
+def _chosen(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, hash of the text, copies) of the document that stays of each group."""
+    spark = docs.sparkSession
+    prints = common.written(setjoin.described(docs.select("doc_id", "text"), shingle), "near-dedup-prints")
+    one = F.min(F.struct("hash", "n", "prefix", "bitmap")).alias("k")
+    entries = common.written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), one).select("fp", "first_id", "k.*"), "near-dedup-entries")
+    rows = common.written(prints.groupBy("fp", "doc_id", "hash").agg(F.count("*").alias("copies")), "near-dedup-rows")
+    common.drop_written(spark, prints)
+    edges = common.settled(spark, lambda: setjoin.links(docs, entries, shingle), "near-dedup-links")
+    groups = named(entries.select("fp", "first_id"), edges).select("fp", "root")
+    first = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash", "copies")).alias("best"))
+    best = first.join(groups, "fp").groupBy("root").agg(F.min("best").alias("k"))
+    return best.select("k.doc_id", "k.hash", "k.copies")

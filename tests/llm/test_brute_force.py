@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from millrace.llm import bpe, common, decontam, html, license_rules, licenses, quality, simhash, toxicity
+from millrace.llm import bpe, common, decontam, html, license_rules, licenses, quality, setjoin, simhash, toxicity
 from tests.llm.test_operators import edit_distance
 from tests.oracle import DATA
 
@@ -324,6 +324,29 @@ def test_keep_one_goes_by_text_not_by_id(spark):
     assert sum(t.startswith("a0 a1") for t in texts) == 1
 
 
+def test_keep_one_leaves_only_what_its_result_reads(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}")
+    words = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(i, " ".join([*words[: 20 + i % 6], f"end{i % 9}"])) for i in range(30)], "doc_id bigint, text string")
+    kept = simhash.keep_one(docs)
+    assert 0 < kept.count() < 30
+    assert {p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()} == {"near-dedup-chosen"}
+
+
+def test_a_passage_in_a_share_of_all_texts_makes_no_large_groups(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}")
+    monkeypatch.setattr(setjoin, "SAMPLE_TEXTS", 20)
+    found = []
+    monkeypatch.setattr(common, "written", lambda df, label, put=common.written: (out := put(df, label), label == "setjoin-met" and found.append(out.count()))[0])
+    rng = np.random.default_rng(5)
+    passage = [f"p{i}" for i in range(30)]
+    rows = [(i, " ".join([*(f"w{x}" for x in rng.integers(0, 50_000, 60)), *(passage if i % 15 == 0 else [])])) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert simhash.keep_one(docs).count() == 1500
+    # each of the 100 texts has 18 or 19 prefix members, over a quarter of its shingles are the passage's
+    assert found and found[0] <= 100
+
+
 # --- 9 toxicity
 
 
