@@ -21,7 +21,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays; shingles of five words."""
+    """One document of each group of near copies stays: by SimHash of five-word shingles, then by an exact join."""
     return simhash.keep_one(docs, shingle=5)
 
 

@@ -15,6 +15,7 @@ already linked are not compared again.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 import numpy as np
@@ -112,18 +113,18 @@ def order_of(docs: DataFrame, size: int) -> Order:
     return Order(value[sort], place[sort])
 
 
-def described(docs: DataFrame, size: int) -> DataFrame:
-    """docs (doc_id, text) as doc_id, hash of the text, fp, n, prefix and bitmap."""
+def described(docs: DataFrame, size: int, fingerprint: Callable[[np.ndarray], int]) -> DataFrame:
+    """docs (doc_id, text) as doc_id, hash of the text, fp, n, prefix, bitmap and sim, the fingerprint of all its shingles."""
     order = order_of(docs, size)
     long = pa.list_(pa.int64())
-    schema = pa.schema([("fp", pa.int64()), ("n", pa.int32()), ("prefix", long), ("bitmap", long)])
+    schema = pa.schema([("fp", pa.int64()), ("n", pa.int32()), ("prefix", long), ("bitmap", long), ("sim", pa.int64())])
 
     def run(texts):
         every = [shingles(words_of(t), size) for t in texts]
-        told = [describe(h, order) for h in every]
+        told = [(*describe(h, order), fingerprint(h)) for h in every]
         return {name: [t[i] for t in told] for i, name in enumerate(schema.names)}
 
-    udf = common.text_struct(lambda: run, schema, "fp bigint, n int, prefix array<bigint>, bitmap array<bigint>")
+    udf = common.text_struct(lambda: run, schema, "fp bigint, n int, prefix array<bigint>, bitmap array<bigint>, sim bigint")
     return docs.select("doc_id", F.xxhash64("text").alias("hash"), udf(F.col("text")).alias("s")).select("doc_id", "hash", "s.*")
 
 
@@ -215,26 +216,29 @@ def verified(docs: DataFrame, entries: DataFrame, pairs: DataFrame, size: int) -
     return tried.join(of("a"), "a").join(of("b"), "b").filter(9 * shared >= 4 * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
-def links(docs: DataFrame, entries: DataFrame, size: int) -> DataFrame:
+def links(docs: DataFrame, entries: DataFrame, size: int, likely: DataFrame) -> DataFrame:
     """Links (a, b) between entries (fp, n, hash of a text with that set, prefix, bitmap), whose
-    components are those of all pairs at similarity 0.8 or more."""
+    components are those of all pairs at similarity 0.8 or more. `likely` pairs are verified first; members of one
+    component of these are not paired again."""
     spark = docs.sparkSession
+    first = common.settled(spark, lambda: verified(docs, entries, likely, size), "setjoin-first")
+    roots = components(first, "setjoin-components")
     keys = entries.select("fp", "n", F.posexplode("prefix").alias("pos", "key"))
     count = keys.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     met = common.written(keys.join(count, "key"), "setjoin-met")
     rooted = lambda some, roots: some.join(roots, F.col("fp") == F.col("node"), "left").withColumn("of", F.coalesce("root", "fp")).drop("node", "root")
-    small = met.filter(F.col("size") <= GROUP_LIMIT).withColumn("of", F.col("fp")).groupBy("key").agg(F.collect_list(F.struct("n", "fp", "pos", "of")).alias("g"))
+    small = rooted(met.filter(F.col("size") <= GROUP_LIMIT), roots).groupBy("key").agg(F.collect_list(F.struct("n", "fp", "pos", "of")).alias("g"))
     pairs = small.select("g").mapInArrow(_pairs, "a bigint, b bigint")
     large = met.filter(F.col("size") > GROUP_LIMIT).select("key", "fp")
     dense = not large.isEmpty()
     if dense:
-        of_first = large.withColumn("of", F.col("fp"))
+        of_first = rooted(large, roots)
         order = F.struct(F.xxhash64("fp").alias("h"), "fp", "of")
         ends = [F.min(F.struct("fp", "of")), F.max(F.struct("fp", "of"))] + [F.struct(f(order)["fp"].alias("fp"), f(order)["of"].alias("of")) for f in (F.min, F.max)]
         stars = of_first.groupBy("key").agg(F.array(*ends).alias("p")).select("key", F.explode("p").alias("p"))
         rays = of_first.join(stars, "key").filter(F.col("of") != F.col("p.of"))
         pairs = pairs.unionByName(rays.select(F.least("fp", "p.fp").alias("a"), F.greatest("fp", "p.fp").alias("b")))
-    sure = common.settled(spark, lambda: verified(docs, entries, pairs, size), "setjoin-sure")
+    sure = common.settled(spark, lambda: first.unionByName(verified(docs, entries, pairs, size)), "setjoin-sure")
     if not dense:
         return sure
     members = common.written(rooted(large, components(sure, "setjoin-components")), "setjoin-members")

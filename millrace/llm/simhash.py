@@ -211,11 +211,21 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prints.join(parts, ["fp", "salt"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def likely(entries: DataFrame) -> DataFrame:
+    """Pairs (a, b) of entries (fp, sim) whose fingerprints sim are equal or in one component of links at BITS_APART bits."""
+    firsts = common.written(entries.groupBy("sim").agg(F.min("fp").alias("first")), "near-dedup-sims")
+    equal = entries.select("sim", "fp").join(firsts, "sim").filter(F.col("fp") != F.col("first")).select(F.col("first").alias("a"), F.col("fp").alias("b"))
+    end = lambda x: firsts.select(F.col("sim").alias(x), F.col("first").alias(f"of_{x}"))
+    apart = links(firsts.select(F.col("sim").alias("fp"))).join(end("a"), "a").join(end("b"), "b")
+    return equal.unionByName(apart.select(F.least("of_a", "of_b").alias("a"), F.greatest("of_a", "of_b").alias("b")))
+
+
 def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """The pipeline's stage: one document of each near-duplicate group stays (the one with the
     smallest id, then the smallest text hash; one row of wholly equal ones), with its own columns.
-    Groups are linked by pairs whose shingle sets have a Jaccard similarity of 0.8 or more, found
-    exactly (setjoin.py): op8's fingerprints at 4 bits would miss most edited copies. A group is known by its entries,
+    Groups are linked by pairs whose shingle sets have a Jaccard similarity of 0.8 or more. The fingerprints and
+    their index come first, as in op8, and what they link is verified by the sets. At 4 bits they miss
+    most edited copies, so the sets whose components are still apart are then joined exactly (setjoin.py). A group is known by its entries,
     not by ids, so documents that share an id but not their text are apart, and null ids are no obstacle.
 
     To choose, ids, hashes, prefixes and the sets that met are shuffled, and the texts of those;
@@ -244,12 +254,13 @@ def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
 def _chosen(docs: DataFrame, shingle: int) -> DataFrame:
     """(doc_id, hash of the text, copies) of the document that stays of each group."""
     spark = docs.sparkSession
-    prints = common.written(setjoin.described(docs.select("doc_id", "text"), shingle), "near-dedup-prints")
-    one = F.min(F.struct("hash", "n", "prefix", "bitmap")).alias("k")
+    prints = common.written(setjoin.described(docs.select("doc_id", "text"), shingle, majority), "near-dedup-prints")
+    one = F.min(F.struct("hash", "n", "sim", "prefix", "bitmap")).alias("k")
     entries = common.written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), one).select("fp", "first_id", "k.*"), "near-dedup-entries")
     rows = common.written(prints.groupBy("fp", "doc_id", "hash").agg(F.count("*").alias("copies")), "near-dedup-rows")
     common.drop_written(spark, prints)
-    edges = common.settled(spark, lambda: setjoin.links(docs, entries, shingle), "near-dedup-links")
+    near = common.settled(spark, lambda: likely(entries), "near-dedup-likely")
+    edges = common.settled(spark, lambda: setjoin.links(docs, entries, shingle, near), "near-dedup-links")
     groups = named(entries.select("fp", "first_id"), edges).select("fp", "root")
     first = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash", "copies")).alias("best"))
     best = first.join(groups, "fp").groupBy("root").agg(F.min("best").alias("k"))

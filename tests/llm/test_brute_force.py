@@ -347,6 +347,44 @@ def test_a_passage_in_a_share_of_all_texts_makes_no_large_groups(spark, monkeypa
     assert found and found[0] <= 100
 
 
+def test_keep_one_links_by_fingerprints_first(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}")
+    rng = np.random.default_rng(8)
+    texts = []
+    for _ in range(12):
+        base = [f"w{x}" for x in rng.integers(0, 5000, 200)]
+        texts += [" ".join([*base[: 200 - cut], *(f"x{i}" for i in rng.integers(0, 5000, cut))]) for cut in (0, 1, 3, 8, 40)]
+    short = ["a b", "a c", "a b c"]
+    docs = spark.createDataFrame(list(enumerate(texts + short)), "doc_id bigint, text string")
+    entries = setjoin.described(docs, 5, simhash.majority).withColumn("first_id", F.col("doc_id"))
+    rows = entries.collect()
+    assert all(r.sim % 2**64 == simhash.fingerprint(t, 5) % 2**64 for t, r in zip(texts + short, sorted(rows, key=lambda r: r.doc_id)))
+    sets = {r.fp: set(setjoin.shingles(setjoin.words_of(t), 5).tolist()) for t, r in zip(texts + short, sorted(rows, key=lambda r: r.doc_id))}
+    alike = lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+    close = [(a.fp, b.fp) for i, a in enumerate(rows) for b in rows[i + 1 :] if ((a.sim ^ b.sim) % 2**64).bit_count() <= 4]
+    pairs = [(r.a, r.b) for r in simhash.likely(entries).collect()]
+
+    def groups(pairs):
+        root = {f: f for f in sets}
+        for _ in sets:
+            for a, b in pairs:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    assert len(close) > 12 and groups(pairs) == groups(close)
+    # without prefixes the exact join finds nothing: what is left is what the fingerprints found, by the sets
+    bare = entries.withColumn("prefix", F.array().cast("array<bigint>"))
+    got = [(r.a, r.b) for r in setjoin.links(docs, bare, 5, simhash.likely(entries)).collect()]
+    assert got and set(map(frozenset, got)) == {frozenset(p) for p in pairs if alike(*p)}
+    # and pairs within those components aren't formed again
+    tried = []
+    monkeypatch.setattr(setjoin, "verified", lambda docs, entries, pairs, size, f=setjoin.verified: (tried.append(pairs.collect()), f(docs, entries, pairs, size))[1])
+    all_links = [(r.a, r.b) for r in setjoin.links(docs, entries, 5, simhash.likely(entries)).collect()]
+    assert groups(all_links) == groups([(a, b) for a in sets for b in sets if a < b and alike(a, b)])
+    settled = groups(got)
+    assert tried[1] and all(settled[r.a] != settled[r.b] for r in tried[1])
+
+
 # --- 9 toxicity
 
 
